@@ -1,0 +1,53 @@
+"""Queries over the provided tables by name, and the SQL that checks them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemark.operators.snapshots import snapshot_changes
+from tidemark.sources.tables import read_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under the function's name, with the SQL that checks it."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query(
+    r"""with h as (select snap_no, url_hash, coalesce(lower(regexp_replace(heading, '^\s+|\s+$', '', 'g')), '(intro)') as heading, loaded_at,
+      sha256(regexp_replace(regexp_replace(coalesce(body, ''), '(?m)[ \t\r]+$', '', 'g'), '\n+\z', '')) as digest from section_snapshot),
+  r as (select snap_no, url_hash, heading, digest from (select *, row_number() over (partition by snap_no, url_hash, heading order by loaded_at desc nulls last, digest desc) as k from h) where k = 1),
+  n as (select snap_no, lag(snap_no) over (order by snap_no) as prev from (select distinct snap_no from r)),
+  cur as (select n.snap_no, url_hash, heading, digest from r join n using (snap_no) where prev is not null),
+  old as (select n.snap_no, url_hash, heading, digest from r join n on r.snap_no = n.prev)
+select coalesce(cur.snap_no, old.snap_no) as snap_no, coalesce(cur.url_hash, old.url_hash) as url_hash, coalesce(cur.heading, old.heading) as heading,
+  case when old.digest is null then 'added' when cur.digest is null then 'removed' else 'changed' end as change
+from cur full join old on cur.snap_no = old.snap_no and cur.url_hash = old.url_hash and cur.heading = old.heading
+where cur.digest is distinct from old.digest"""
+)
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return snapshot_changes(read_table(spark, root, "section_snapshot", "snap_no", "url_hash", "heading", "body", "loaded_at"))
+
+
+@query(
+    """select domain, cast(sum(greatest(0, coalesce(saved, 0))) as bigint) as saved
+from (select distinct seq, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(domain)), '\\.+$', ''), '^www\\.', ''), ''), 'unknown') as domain, saved from activity) group by domain"""
+)
+def domain_leaderboard(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_table(spark, root, "activity", "seq", "domain", "saved").dropDuplicates(["seq"])
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.trim("domain")), r"\.+$", ""), r"^www\.", "")
+    domain = F.when(name.isNull() | (name == ""), F.lit("unknown")).otherwise(name)
+    return rows.groupBy(domain.alias("domain")).agg(F.sum(F.greatest(F.lit(0), F.coalesce("saved", F.lit(0)))).alias("saved"))
