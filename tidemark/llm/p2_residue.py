@@ -92,9 +92,41 @@ RESPONSES = [
 ]
 FENCE = re.compile(r"^[ \t>]*(```+|~~~+)[^\n]*(?:\n.*?(?:^[ \t>]*\1[^\n]*$|\Z)|\Z)", re.S | re.M)
 INLINE = re.compile(r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
-_PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
-_FILLER = re.compile("|".join(FILLER), re.I | re.S)
-_RESPONSE = re.compile("|".join(f"(?:{x})" for x in RESPONSES), re.I)
+#: For each pattern strings of which a match holds at least one; a text without them needn't be searched.
+_HELD = ["{{", "{%", ("${", "#{"), "{$", "{", "<%", "%%", "%", "@@", "__", "[[", "[", ("<", "&lt;"), "[object ", ("undefined u", "null n", "None N"), ("NaN", "Invalid D"), ("TODO:", "TKTK")]
+_PLACEHOLDERS = [(held if isinstance(held, tuple) else (held,), re.compile(pattern)) for held, pattern in zip(_HELD, PLACEHOLDERS, strict=True)]
+_FILLERS = [
+    (held, re.compile(pattern, re.I | re.S))
+    for held, pattern in zip([("sample ", "placeholder ", "dummy ", "filler ", "example "), ("blindtext", "platzhaltertext", "beispieltext"), ("texte ",), ("texto ",), ("テキスト",)], FILLER, strict=True)
+]
+_RESPONSES = [
+    (held, re.compile(pattern, re.I))
+    for held, pattern in zip(
+        [
+            ("4", "5"),
+            ("4", "5"),
+            ("found", "exist", "available", "moved"),
+            ("address", "we looked", "we searched", "cannot "),
+            ("denied", "forbidden", "refused", "blocked", "rejected", "right", "permission", "access"),
+            ("too many requests", "rate limit", "try again"),
+            ("something went", "has been", "have been", "unexpected", "internal", "bad gateway", "unavailable", "gateway time"),
+            ("down", "closed", "offline", "unavailable", "maintenance"),
+            ("session", "sign in", "log in"),
+            ("opened", "visited", "requested", "verify", "checking", "prove", "confirm", "captcha", "program"),
+            ("traceback", "file ", "error", "exception", "line", "stack trace", "core dumped", "undefined"),
+            ("noscript", "script", "js", "client-side", "loading"),
+            ("script", "skript"),
+            ("seite", "datei", "adresse", "eintrag", "dokument", "zugriff", "anfragen", "wartung", "server", "später"),
+            ("script",),
+            ("page", "fichier", "document", "adresse", "accès", "requêtes", "maintenance", "erreur"),
+            ("script",),
+            ("no se ", "servidor", "página", "acceso", "demasiadas", "mantenimiento"),
+            ("javascript", "スクリプト", "ページ", "アクセス", "エラー", "メンテナンス", "リクエスト"),
+        ],
+        RESPONSES,
+        strict=True,
+    )
+]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -104,7 +136,7 @@ def outside_code(text: str) -> str:
 
 
 def has_placeholder(prose: str) -> bool:
-    return _PLACEHOLDER.search(prose) is not None
+    return any(pattern.search(prose) for held, pattern in _PLACEHOLDERS if any(h in prose for h in held))
 
 
 def has_filler(prose: str) -> bool:
@@ -112,7 +144,7 @@ def has_filler(prose: str) -> bool:
     low = prose.lower()
     if ("dolor" in low or "ipsum" in low or "lorem" in low or "eiusmod" in low) and any(_is_filler(p) for p in (*re.split(r"\n\s*\n", low), *low.split("\n"))):
         return True
-    return _FILLER.search(prose) is not None
+    return any(pattern.search(prose) for held, pattern in _FILLERS if any(h in low for h in held))
 
 
 def _is_filler(paragraph: str) -> bool:
@@ -121,7 +153,8 @@ def _is_filler(paragraph: str) -> bool:
 
 
 def is_response_line(line: str) -> bool:
-    return _RESPONSE.search(line) is not None
+    low = line.lower()
+    return any(pattern.search(line) for held, pattern in _RESPONSES if any(h in low for h in held))
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
