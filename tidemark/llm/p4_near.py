@@ -6,10 +6,13 @@ flipped gives its one to six nearby codewords. Two segments that differ in at mo
 segments the errors of a similar pair spread out, so by the pigeonhole principle some segment has few.
 
 A codeword index has 12 bits only, so the index alone would put a fixed share of a growing collection into each bucket.
-Each segment's bucket is therefore named by two full minimum hashes, and the codeword indices split the buckets that hold
-more than one set. Records with equal sets are one node throughout. Candidates are verified on the whole sets.
+Each segment's bucket is therefore named by three full minimum hashes, and the codeword indices split the buckets that
+hold more than one set: lines that a site repeats put many of its pages into one bucket, but not their codewords.
+Records with equal sets are one node throughout. Candidates are first held against each other by 4 bits of each minimum
+hash, then verified on the whole sets.
 
-With SEGMENTS = 20, a pair of similarity 0.7 shares a key with a probability over 0.998, one of 0.75 over 0.9998.
+With SEGMENTS = 40, a pair of similarity 0.7 becomes a candidate with a probability over 0.999, one of 0.75 over 0.9999;
+the sketch loses one in 30,000.
 """
 
 from __future__ import annotations
@@ -20,14 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.p8_leaks import words_of
 from tidemark.sources.scratch import Scratch
 
-SEGMENTS = 20
+SEGMENTS = 40
 BITS = 23
 HASHES = 64
+NAMES = 3
+#: Differing bits of a segment up to which two sets that share a codeword are candidates.
+ERRORS = 5
 #: Ids that may be broadcast, about 32 MB as a hash relation; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 #: Word hashes kept by a worker; beyond, it starts anew.
@@ -96,7 +102,7 @@ class Fingerprints:
         self.factor = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
         self.shift = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
         self.places = rng.integers(0, 1 << 63, run, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-        self.drawn = [rng.permutation(HASHES)[: 2 + BITS] for _ in range(SEGMENTS)]
+        self.drawn = [rng.permutation(HASHES)[: NAMES + BITS] for _ in range(SEGMENTS)]
         self.bit = rng.integers(8, 56, (SEGMENTS, BITS), dtype=np.uint64)
         self._words = _WordHashes()
 
@@ -116,8 +122,8 @@ class Fingerprints:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)])
         return offsets, np.concatenate(out) if out else np.empty(0, np.uint64)
 
-    def prints(self, offsets: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(digest of each set, bucket names, segments) of non-empty sets; the latter have a row a set and a column a segment."""
+    def prints(self, offsets: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(digest of each set, bucket names, segments, sketch) of non-empty sets; names and segments have a column a segment, the sketch 16 minimum hashes a column."""
         starts = offsets[:-1]
         digest = _mixed(np.add.reduceat(_mixed(runs), starts) + np.diff(offsets).astype(np.uint64))
         least = np.empty((HASHES, len(starts)), np.uint64)
@@ -126,11 +132,15 @@ class Fingerprints:
         names = np.empty((len(starts), SEGMENTS), np.uint64)
         segments = np.zeros((len(starts), SEGMENTS), np.int32)
         for s in range(SEGMENTS):
-            a, b, *rest = self.drawn[s]
-            names[:, s] = _mixed(_mixed(least[a] + np.uint64(s)) + least[b])
-            for k, j in enumerate(rest):
+            names[:, s] = s
+            for j in self.drawn[s][:NAMES]:
+                names[:, s] = _mixed(names[:, s] + least[j])
+            for k, j in enumerate(self.drawn[s][NAMES:]):
                 segments[:, s] |= ((least[j] >> self.bit[s, k] & np.uint64(1)) << np.uint64(k)).astype(np.int32)
-        return digest, names, segments
+        sketch = np.zeros((len(starts), HASHES // 16), np.uint64)
+        for j in range(HASHES):
+            sketch[:, j // 16] |= (least[j] & np.uint64(15)) << np.uint64(4 * (j % 16))
+        return digest, names, segments, sketch
 
 
 def _texts(batch: pa.RecordBatch, least_words: int) -> Iterator[tuple[list[int], list[list[str]]]]:
@@ -155,12 +165,9 @@ def _print_rows(run: int, least_words: int):
         made = Fingerprints(run)
         for batch in batches:
             for ids, texts in _texts(batch, least_words):
-                digest, names, segments = made.prints(*made.sets(texts))
-                cut = pa.array(np.arange(0, len(ids) * SEGMENTS + 1, SEGMENTS, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(cut, pa.array(names.ravel().view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(segments.ravel()))],
-                    ["id", "node", "names", "segments"],
-                )
+                digest, *columns = made.prints(*made.sets(texts))
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel().view(np.int64) if x.dtype == np.uint64 else x.ravel())) for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digest.view(np.int64)), *lists], ["id", "node", "names", "segments", "sketch"])
 
     return rows
 
@@ -186,19 +193,40 @@ def _codeword_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fingerprints(pages: DataFrame, id_col: str, text_col: str, run: int, least_words: int) -> DataFrame:
-    """(id, node, names, segments) of the texts of at least least_words words; node is the digest of the set."""
+    """(id, node, names, segments, sketch) of the texts of at least least_words words; node is the digest of the set."""
     texts = pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least_words - 1))
-    return texts.mapInArrow(_print_rows(run, least_words), "id long, node long, names array<long>, segments array<int>")
+    return texts.mapInArrow(_print_rows(run, least_words), "id long, node long, names array<long>, segments array<int>, sketch array<long>")
 
 
 def candidate_nodes(prints: DataFrame) -> DataFrame:
-    """(a, b), a < b: nodes that share a bucket and a codeword index in some segment."""
+    """(a, b), a < b: nodes that share a bucket and a codeword index in some segment, with few differing bits there."""
     nodes = prints.select("node", "names", "segments").dropDuplicates(["node"])
     rows = nodes.select("node", F.explode(F.arrays_zip("names", "segments")).alias("x")).select(F.col("x.names").alias("name"), F.col("x.segments").alias("segment"), "node")
     shared = rows.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
     keyed = rows.join(shared, "name", "left_semi").select("name", "segment", "node").mapInArrow(_codeword_rows, "key long, segment int, node long")
     a, b = keyed.alias("a"), keyed.alias("b")
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    near = F.bit_count(F.col("a.segment").bitwiseXOR(F.col("b.segment"))) <= ERRORS
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def _equal_hashes(a: Column, b: Column) -> Column:
+    """How many of the minimum hashes agree in their 4 bits."""
+
+    def in_word(k: int) -> Column:
+        x = a[k].bitwiseXOR(b[k])
+        for shift in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        return 16 - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sum((in_word(k) for k in range(1, HASHES // 16)), in_word(0))
+
+
+def sketched(candidates: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Candidates whose sketches agree as a pair at the threshold does, less four standard deviations."""
+    share = threshold + (1 - threshold) / 16
+    least = HASHES * share - 4 * (HASHES * share * (1 - share)) ** 0.5
+    left, right = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
+    return candidates.join(left, "a").join(right, "b").filter(_equal_hashes(F.col("a_sketch"), F.col("b_sketch")) >= least).select("a", "b")
 
 
 def _limited(ids: DataFrame, n: int) -> DataFrame:
@@ -217,7 +245,8 @@ class NearDuplicates:
         self.id_col = id_col
         scratch = self._scratch = Scratch(pages.sparkSession, "p4")
         prints = scratch.keep(fingerprints(pages, id_col, text_col, run, least_words), "prints")
-        candidates = scratch.keep(candidate_nodes(prints), "candidates")
+        sketches = prints.select("node", "sketch").dropDuplicates(["node"])
+        candidates = scratch.keep(sketched(candidate_nodes(prints), sketches, threshold), "candidates")
         self.members = scratch.keep(prints.select("id", "node").distinct(), "members")
         scratch.drop("prints")
         needed = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
