@@ -6,8 +6,8 @@ globally, the earliest ranked occurrence is kept and the rest are removed, with
 `shared_spans` finds verbatim stretches wherever they begin or end, which whole lines or paragraphs can't. Its units are
 cut by content: of each window of `span` characters the run of UNIT characters with the least hash is a unit, so equal
 windows hold equal units wherever they stand. Digests are grouped globally in three rounds, each only over what the
-round before has left: units; the stretches that a shared unit's windows cover; single windows, but for those of units
-that have the same stretch wherever they stand, which are thereby settled. Groups are reduced to their least and greatest document with partial counts a task, so a unit that stands in
+round before has left: units; the stretches that parts of a shared unit's windows cover; single windows, but for the parts
+whose stretch is the same wherever the unit stands, which are thereby settled. Groups are reduced to their least and greatest document with partial counts a task, so a unit that stands in
 a third of all documents makes no large group, and no pairs of documents are made.
 """
 
@@ -25,6 +25,8 @@ SPAN = 320
 UNIT = 96
 #: Characters worked on together; a longer text is worked on in pieces that overlap.
 BLOCK = 1 << 20
+#: Windows of a unit that are settled together.
+PART = 32
 _BASE = 0x9E3779B97F4A7C15
 _TOP = np.iinfo(np.uint64).max
 
@@ -160,13 +162,26 @@ def _shared_units(block: Block, extra: dict, span: int, unit: int) -> tuple[np.n
     return at[shared], first[shared], last[shared], times[shared]
 
 
+def _parts(at: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last): the windows of each unit in parts of PART windows, cut at fixed distances from the unit."""
+    zero = at - reach
+    low, high = (first - zero) // PART, (last - zero) // PART
+    sizes = high - low + 1
+    row = np.repeat(np.arange(len(at)), sizes)
+    part = low[row] + np.arange(sizes.sum()) - (np.cumsum(sizes) - sizes)[row]
+    begin = zero[row] + part * PART
+    return row, np.maximum(first[row], begin), np.minimum(last[row], begin + PART - 1)
+
+
 def _stretch_rows(span: int, unit: int):
-    """The stretch that the windows of a shared unit cover, and how often the unit occurs."""
+    """The stretches that parts of a shared unit's windows cover, and how often the unit occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, extra in _blocks(_rows(batch, 2), span):
                 at, first, last, times = _shared_units(block, extra, span, unit)
+                row, first, last = _parts(at, first, last, span - unit)
+                at, times = at[row], times[row]
                 doc, begin = block.place(first)
                 digest = _mixed(block.hashes(first, last + span) + (at - first).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([_long(doc), _long(digest), _long(begin), _long(begin + (last - first)), _long(times)], ["doc", "digest", "first", "last", "times"])
@@ -181,8 +196,9 @@ def _window_rows(span: int, unit: int):
         for batch in batches:
             for block, extra in _blocks(_rows(batch, 3), span):
                 at, first, last, _ = _shared_units(block, extra, span, unit)
-                doc, begin = block.place(first)
-                open_ = np.ones(len(at), bool)
+                _, first, last = _parts(at, first, last, span - unit)
+                _, begin = block.place(first)
+                open_ = np.ones(len(first), bool)
                 cuts = np.searchsorted(block.owner[first], np.arange(len(block.docs) + 1))
                 for d, start, stop in zip(block.docs.tolist(), cuts, cuts[1:]):
                     open_[start:stop] = ~np.isin(begin[start:stop], extra[d][2])
