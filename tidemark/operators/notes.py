@@ -13,14 +13,14 @@ RING = 50
 
 
 def merged_notes(log: DataFrame) -> DataFrame:
-    """(note_id, target_key, text, kind, at, votes): notes on one target with one normal form are one note with a vote each.
+    """(note_id, target_key, text, kind, at_ms, votes): notes on one target with one normal form are one note with a vote each.
 
-    `log` has (seq, at, target, text, kind). The earliest row gives id, text, kind and time; every row is a vote. Exact as long as
+    `log` has (seq, at_ms, target, text, kind). The earliest row gives id, text, kind and time; every row is a vote. Exact as long as
     a target's live notes fit the ring of 50; the partial minimum and count run before the shuffle.
     """
-    keyed = log.select(target_key("target").alias("target_key"), dedup_form("text").alias("_form"), F.struct("at", "seq", F.substring("text", 1, 500).alias("text"), "kind").alias("_row"))
+    keyed = log.select(target_key("target").alias("target_key"), dedup_form("text").alias("_form"), F.struct("at_ms", "seq", F.substring("text", 1, 500).alias("text"), "kind").alias("_row"))
     return keyed.groupBy("target_key", "_form").agg(F.min("_row").alias("r"), F.count("*").alias("votes")).select(
-        F.col("r.seq").alias("note_id"), "target_key", F.col("r.text").alias("text"), F.col("r.kind").alias("kind"), F.col("r.at").alias("at"), "votes"
+        F.col("r.seq").alias("note_id"), "target_key", F.col("r.text").alias("text"), F.col("r.kind").alias("kind"), F.col("r.at_ms").alias("at_ms"), "votes"
     )
 
 
@@ -36,13 +36,13 @@ def visible(net: Column, flags: Column) -> Column:
 def ranked_notes(notes: DataFrame, counts: DataFrame, now: int) -> DataFrame:
     """Visible notes of each target with live votes, flags, net and rank by net score halved every 30 days, newer first among equals.
 
-    `notes` has (note_id, target_key, at, ...); a note without reactions has none. Only the newest 50 of a target are ranked.
+    `notes` has (note_id, target_key, at_ms, ...); a note without reactions has none. Only the newest 50 of a target are ranked.
     """
-    ring = notes.withColumn("_rank", F.row_number().over(Window.partitionBy("target_key").orderBy(F.desc("at"), F.desc("note_id")))).filter(F.col("_rank") <= RING).drop("_rank", "votes", "flags")
+    ring = notes.withColumn("_rank", F.row_number().over(Window.partitionBy("target_key").orderBy(F.desc("at_ms"), F.desc("note_id")))).filter(F.col("_rank") <= RING).drop("_rank", "votes", "flags")
     zero = F.lit(0).cast("long")
     live = ring.join(counts, "note_id", "left").withColumn("votes", F.coalesce("votes", zero)).withColumn("flags", F.coalesce("flags", zero)).withColumn("net", F.col("votes") - F.col("flags"))
-    weight = F.col("net") * F.pow(F.lit(0.5), (F.lit(now) - F.col("at")) / 86_400_000 / HALF_LIFE_DAYS)
-    order = Window.partitionBy("target_key").orderBy(F.desc("weight"), F.desc("at"), F.desc("note_id"))
+    weight = F.col("net") * F.pow(F.lit(0.5), (F.lit(now) - F.col("at_ms")) / 86_400_000 / HALF_LIFE_DAYS)
+    order = Window.partitionBy("target_key").orderBy(F.desc("weight"), F.desc("at_ms"), F.desc("note_id"))
     return live.filter(visible(F.col("net"), F.col("flags"))).withColumn("weight", weight).withColumn("rank", F.row_number().over(order))
 
 

@@ -45,6 +45,9 @@ class Scratch:
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def path(self, name: str) -> str:
+        return f"{self._root}/{name}"
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self._root}/{name}")
