@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from tidemark.functions.urls import Address
+from tidemark.functions.urls import with_address
 
 # Private and reserved IPv4 ranges, types of responses that hold text.
 PRIVATE = [
@@ -40,9 +41,7 @@ def is_private(ip: Column | str) -> Column:
     mapped = F.regexp_extract(c, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
     high, low = (F.conv(F.regexp_extract(c, r"^::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", k), 16, 10).cast("long") for k in (1, 2))
     number = F.coalesce(ipv4_number(c), ipv4_number(mapped), F.when(c.rlike(r"^::ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), high * 65536 + low))
-    v4 = F.lit(False)
-    for cidr in PRIVATE:
-        v4 = v4 | in_range(number, cidr)
+    v4 = F.exists(F.array(number), lambda n: reduce(lambda found, cidr: found | in_range(n, cidr), PRIVATE, F.lit(False)))  # the number is bound once
     v6 = c.isin("::1", "::") | (F.instr(c, ":").cast("boolean") & c.rlike("^(?:f[cd]|fe[89ab])"))
     return F.coalesce(v4, F.lit(False)) | F.coalesce(v6, F.lit(False))
 
@@ -54,8 +53,7 @@ def is_internal_host(host: Column | str) -> Column:
 
 def refusal(url: Column | str) -> Column:
     """Why an address may not be fetched: `invalid`, `scheme`, `internal` or `private`; null where it may. Names aren't resolved."""
-    a = Address(url)
-    return F.when(~a.valid, "invalid").when(~a.scheme.isin("http", "https"), "scheme").when(is_internal_host(a.host), "internal").when(is_private(a.host), "private")
+    return with_address(url, lambda a: F.when(~a.valid, "invalid").when(~a.scheme.isin("http", "https"), "scheme").when(is_internal_host(a.host), "internal").when(is_private(a.host), "private"))
 
 
 def is_text_type(content_type: Column | str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.urls import Address, doc_set, site
+from tidemark.functions.urls import Address, doc_set, with_address
 
 HOUR_MS = 3_600_000
 # Package feeds of documentation sites whose name isn't the package's.
@@ -32,18 +32,20 @@ def sample_urls(events: DataFrame) -> DataFrame:
 
 def feed_of(url: Column | str) -> Column:
     """struct<type, id> of the release feed of an address: a known site's, else what addresses of package hosts name; null for others."""
-    a = Address(url)
-    name = site(url)
-    known_type = F.create_map(*(F.lit(x) for k, v in FEEDS.items() for x in (k, v[0])))[name]
-    known_id = F.create_map(*(F.lit(x) for k, v in FEEDS.items() for x in (k, v[1])))[name]
-    parts = F.filter(F.split(a.path, "/"), lambda p: p != "")
-    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    repository = F.when(a.host.endswith("github.com") & second.isNotNull(), F.concat_ws("/", first, second))
-    package = F.when(a.host.endswith("npmjs.com"), F.when(first == "package", F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "/")).otherwise(first))
-    package = F.when(package != "", package)
-    project = F.when(a.host.endswith("pypi.org") & (first == "project"), second)
-    kind = F.coalesce(known_type, F.when(repository.isNotNull(), "github").when(package.isNotNull(), "npm").when(project.isNotNull(), "pypi"))
-    return F.when(a.valid & kind.isNotNull(), F.struct(kind.alias("type"), F.coalesce(known_id, repository, package, project).alias("id")))
+
+    def feed(a: Address) -> Column:
+        name = F.regexp_replace(a.host, r"^www\.", "")
+        known = F.create_map(*(x for k, v in FEEDS.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("type"), F.lit(v[1]).alias("id")))))[name]
+        parts = F.filter(F.split(a.path, "/"), lambda p: p != "")
+        first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        repository = F.when(a.host.endswith("github.com") & second.isNotNull(), F.concat_ws("/", first, second))
+        package = F.when(a.host.endswith("npmjs.com"), F.when(first == "package", F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "/")).otherwise(first))
+        package = F.when(package != "", package)
+        project = F.when(a.host.endswith("pypi.org") & (first == "project"), second)
+        guess = F.coalesce(*(F.when(x.isNotNull(), F.struct(F.lit(kind).alias("type"), x.alias("id"))) for kind, x in (("github", repository), ("npm", package), ("pypi", project))))
+        return F.when(a.valid, F.coalesce(known, guess))
+
+    return with_address(url, feed)
 
 
 def first_after(starts: DataFrame, events: DataFrame, window_ms: int, *keys: str) -> DataFrame:
@@ -79,8 +81,6 @@ def lead_times(found: DataFrame, *keys: str) -> DataFrame:
     lead = found.withColumn("lead", F.col("first_at") - F.col("start_at"))
     sums = lead.groupBy(*keys).agg(F.count("*").alias("starts"), F.count("lead").alias("followed"))
     counted = lead.filter("lead is not null").groupBy(*keys, "lead").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     by = Window.partitionBy(*keys).orderBy("lead")
     ranked = counted.withColumn("upto", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     joined = ranked.join(sums.filter("followed > 0"), list(keys)) if keys else ranked.withColumn("_k", F.lit(1)).join(sums.withColumn("_k", F.lit(1)), "_k").drop("_k")
