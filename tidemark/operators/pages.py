@@ -34,7 +34,7 @@ def adaptive_ttl(history: DataFrame, key: str, at: str, ring: int = RING) -> Dat
     gaps = newest.withColumn("_gap", F.col(at) - F.lag(at).over(by.orderBy(at)))
     mean = F.avg(F.when(F.col("_gap") > 0, F.col("_gap")))
     ttl = F.least(F.lit(TTL_MOST_MS), F.greatest(F.lit(TTL_LEAST_MS), F.floor(mean / 2 + 0.5)))
-    return gaps.groupBy(key).agg(F.when(F.count("*") >= 3, F.coalesce(ttl, F.lit(TTL_MS))).otherwise(F.lit(TTL_MS)).cast("long").alias("ttl_ms"))
+    return gaps.groupBy(key).agg(F.when((F.count("*") >= 3) & mean.isNotNull(), ttl).otherwise(F.lit(TTL_MS)).cast("long").alias("ttl_ms"))
 
 
 def is_fresh(created_at: Column, ttl_ms: Column, now: int | Column) -> Column:

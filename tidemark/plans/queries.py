@@ -376,7 +376,7 @@ def version_log(spark: SparkSession, root: str) -> DataFrame:
 @query(
     """with v as (select user_id, (epoch_us(ts) // 1000) as t from events where event_type = 'view'), r as (select *, row_number() over (partition by user_id order by t desc) as k from v),
   g as (select user_id, t - lag(t) over (partition by user_id order by t) as gap from r where k <= 20)
-select user_id, cast(case when count(*) < 3 then 86400000 else coalesce(least(604800000, greatest(3600000, floor(avg(case when gap > 0 then gap end) / 2 + 0.5))), 86400000) end as bigint) as ttl_ms from g group by user_id"""
+select user_id, cast(case when count(*) < 3 or max(gap) <= 0 then 86400000 else least(604800000, greatest(3600000, floor(avg(case when gap > 0 then gap end) / 2 + 0.5))) end as bigint) as ttl_ms from g group by user_id"""
 )
 def adaptive_ttl(spark: SparkSession, root: str) -> DataFrame:
     seen = read_table(spark, root, "events", "user_id", "ts", "event_type").filter("event_type = 'view'").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
