@@ -6,7 +6,7 @@ filler, or if it consists of an error message, an access refusal or a demand for
 The last kind is judged on short pages by combined evidence. Lines that the page's host repeats, and lines that look like
 what any host repeats, say nothing about the page and are left out. Of the rest, a line is a response line if it has the
 words of one in some language, or if its skeleton, with names, numbers and terms of the address masked, is duplicated
-across hosts while it shares no term with the page's title. A page is a response if it has such a line and next to nothing else.
+across hosts while it names a slug and shares no term with the page's title. A page is a response if it has such a line and next to nothing else.
 
 Null and empty texts are no cases. Rows with one id count once.
 """
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.p1_lines import BROADCAST_HASHES, frequent_hashes, hashed_lines, line_form, site_of
+from tidemark.llm.p1_lines import BROADCAST_HASHES, MIN_PAGES, MIN_SHARE_PERCENT, frequent_hashes, hashed_lines, line_form, site_of
 from tidemark.sources.scratch import Scratch
 
 #: Characters outside headings up to which a page may be a response together with repeated lines.
@@ -70,7 +70,7 @@ FILLER = [
 ]
 # The words of error messages, refusals and demands for scripts.
 RESPONSES = [
-    r"^\W*[45]\d\d\b.{0,60}(?:—|-|:|\b(?:not found|error|forbidden|gone|unavailable|failed|bad gateway|unauthorized|denied|time-?out)\b)",
+    r"^\W*[45]\d\d\s*[—–:-]\s+\w|^\W*[45]\d\d\b(?!\.\s).{0,60}\b(?:not found|error|forbidden|gone|unavailable|failed|bad gateway|unauthorized|denied|time-?out)\b",
     r"\b(?:error|erreur|fehler|c[oó]digo|status|エラー)\s*:?\s*[45]\d\d\b",
     r"\b(?:page|file|document|site|url|address|resource|content)\b.{0,60}\b(?:not found|not be found|could not be found|does not exist|doesn't exist|no longer (?:exists|available)|been (?:re)?moved)\b",
     r"\bnothing (?:at|under) this address\b|\bwe (?:looked|searched) for\b.{0,100}\b(?:nothing|no (?:page|result))\b|\bcannot (?:GET|POST) /",
@@ -128,6 +128,10 @@ _RESPONSES = [
     )
 ]
 _WORD = re.compile(r"[^\W\d_]+")
+#: One word, or in scripts without blanks a few characters, over and over.
+_SAME_WORD = re.compile(r"(?<!\w)([^\W\d_]{2,30})(?:[ \n]+\1){5}(?!\w)", re.I)
+_KANA = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]{16}")
+_SAME_KANA = re.compile(r"([\u3040-\u30ff\u4e00-\u9fff]{1,6}?)\1{7}")
 
 
 def outside_code(text: str) -> str:
@@ -140,10 +144,12 @@ def has_placeholder(prose: str) -> bool:
 
 
 def has_filler(prose: str) -> bool:
-    """A paragraph of at least 8 words, more than half of them filler, or one that announces itself as filler."""
+    """A paragraph of at least 8 words, more than half of them filler; one word six times in a row; or a paragraph that announces itself as filler."""
     low = prose.lower()
     if ("dolor" in low or "ipsum" in low or "lorem" in low or "eiusmod" in low) and any(_is_filler(p) for p in (*re.split(r"\n\s*\n", low), *low.split("\n"))):
         return True
+    if _SAME_WORD.search(low) or (_KANA.search(low) and _SAME_KANA.search(low)):
+        return True
     return any(pattern.search(prose) for held, pattern in _FILLERS if any(h in low for h in held))
 
 
@@ -158,7 +164,7 @@ def is_response_line(line: str) -> bool:
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page: its own verdict, or its lines outside headings if it is short."""
+    """Of each page: its own verdict, or if it is short its lines outside headings and the headings that are messages."""
     for batch in batches:
         ids, urls, kinds, lines, response, titles = [], [], [], [], [], []
 
@@ -182,17 +188,24 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     title = " ".join(heads)
                     for line in body:
                         add(key, url, "line", line, is_response_line(line), title)
+                    for line in heads:  # a message may stand in a heading; other headings are no text of their own
+                        if is_response_line(line.lstrip("# \t")):
+                            add(key, url, "line", line, True, title)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(kinds, pa.string()), pa.array(lines, pa.string()), pa.array(response, pa.bool_()), pa.array(titles, pa.string())],
             ["id", "url", "kind", "line", "response", "title"],
         )
 
 
+#: Marks in skeletons: small letters that don't occur by themselves.
+SLUG, NAME = "\u017f", "\u014b"
+
+
 def skeleton(line):
     """The line with slugs, names and numbers masked, in lower case, its runs of letters and digits joined by one blank."""
-    masked = F.regexp_replace(line, r"[\p{L}\p{N}]+(?:[-_][\p{L}\p{N}]+)+", " S ")
+    masked = F.regexp_replace(line, r"[\p{L}\p{N}]+(?:[-_][\p{L}\p{N}]+)+", f" {SLUG} ")
     masked = F.regexp_replace(masked, r"[0-9]+", " 0 ")
-    masked = F.regexp_replace(masked, r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{N}]*", " N ")
+    masked = F.regexp_replace(masked, r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{N}]*", f" {NAME} ")
     return F.trim(F.regexp_replace(F.lower(masked), r"[^\p{L}\p{N}]+", " "))
 
 
@@ -204,17 +217,22 @@ def residue_pages(pages: DataFrame, id_col: str = "page_id", text_col: str = "ma
     own = screened.filter("kind != 'line'").groupBy("id").agg(F.max("kind").alias("reason"))
 
     every = scratch.keep(hashed_lines(source, "id", "text", "url"), "lines")
-    hot = scratch.keep(frequent_hashes(every, source, "id", "url").select("h"), "hot")
+    counts = frequent_hashes(every, source, "id", "url", min_pages=2, share_percent=0)
+    excessive = (F.col("n") >= MIN_PAGES) & (F.col("n") * 100 >= F.col("site_n") * MIN_SHARE_PERCENT)
+    hot = scratch.keep(counts.select("h", excessive.alias("excessive")), "hot")
     scratch.drop("lines")
     if hot.count() <= BROADCAST_HASHES:
         hot = F.broadcast(hot)
     short = screened.filter("kind = 'line'").withColumn("site", site_of(F.col("url"))).withColumn("h", F.xxhash64("site", line_form(F.col("line")))).withColumn("sk", F.xxhash64(skeleton(F.col("line"))))
-    marked = scratch.keep(short.join(hot.withColumn("repeated", F.lit(True)), "h", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))), "marked")
-    chrome = marked.filter("repeated and not response").select("sk").distinct()
-    rest = scratch.keep(marked.filter("not repeated").join(chrome, "sk", "left_anti"), "rest")
+    marked = scratch.keep(short.join(hot, "h", "left"), "marked")
+    chrome = marked.filter("excessive and not response").select("sk").distinct()
+    # a message that a host shows on a few pages stays a message; any other line that it shows again is none of the page's own
+    rest = scratch.keep(marked.filter("excessive is null or (response and not excessive)").join(chrome, "sk", "left_anti"), "rest")
     # scripts without blanks count a word for two characters
     words = F.size(F.filter(F.split("line", r"[^\p{L}\p{N}]+"), lambda w: w != "")) + F.floor(F.length(F.regexp_replace("line", r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]", "")) / 2)
-    plain = F.size(F.filter(F.split(skeleton(F.col("line")), " "), lambda w: ~w.isin("s", "n", "0")))
+    # an answer by a server names the address it is about, and says something around it
+    marks = F.split(skeleton(F.col("line")), " ")
+    plain = F.when(F.array_contains(marks, SLUG), F.size(F.filter(marks, lambda w: ~w.isin(SLUG, NAME, "0")))).otherwise(0)
     # a copied paragraph is the same text on several hosts; a response has the same skeleton around different names
     forms = rest.filter(~F.col("response") & (words <= LINE_WORDS) & (plain >= PLAIN_WORDS)).select("sk", "site", F.xxhash64(line_form(F.col("line"))).alias("form")).distinct()
     hosts = forms.select("sk", "site").distinct().groupBy("sk").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= HOSTS)
