@@ -51,15 +51,22 @@ def feed_of(url: Column | str) -> Column:
 def first_after(starts: DataFrame, events: DataFrame, window_ms: int, *keys: str) -> DataFrame:
     """(keys, start_at, first_at): the first event in (start, start + window] of each start; null where none follows.
 
-    A forward as-of join. Time is cut into buckets as long as the window: an event can follow only starts of its own bucket or
-    the one before, so both sides meet on (keys, bucket), which also spreads a hot key over its buckets. The join is
-    reduced to a minimum by a partial aggregate.
+    A forward as-of join without a join of rows. Time is cut into buckets as long as the window; what follows a start lies in its
+    own bucket or is the next bucket's first event. Within (keys, bucket) starts and events are looked at once, the latest first,
+    with a running minimum, so a hot key is spread over its buckets and no pairs are made. A null key is followed by nothing.
     """
-    s = starts.select(*keys, "start_at").distinct()
-    near = s.withColumn("_b", F.explode(F.array(F.floor(F.col("start_at") / window_ms), F.floor(F.col("start_at") / window_ms) + 1)))
-    e = events.select(*keys, F.col("at_ms").alias("_at"), F.floor(F.col("at_ms") / window_ms).alias("_b"))
-    found = near.join(e, [*keys, "_b"]).filter((F.col("_at") > F.col("start_at")) & (F.col("_at") <= F.col("start_at") + window_ms)).groupBy(*keys, "start_at").agg(F.min("_at").alias("first_at"))
-    return s.join(found, [*keys, "start_at"], "left")
+
+    def bucket(at: Column) -> Column:
+        return F.floor(at / window_ms)
+
+    s = starts.select(*keys, F.col("start_at").alias("_t")).distinct().select(*keys, "_t", F.lit(None).cast("long").alias("_e"), F.lit(0).alias("_kind"))
+    e = events.select(*keys, F.col("at_ms").alias("_t")).dropna().select(*keys, "_t", F.col("_t").alias("_e"), F.lit(1).alias("_kind"))
+    rows = s.unionByName(e).withColumn("_b", bucket(F.col("_t")))
+    by = Window.partitionBy(*keys, "_b").orderBy(F.desc("_t"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("_own", F.min("_e").over(by)).filter("_kind = 0")
+    following = e.groupBy(*keys, (bucket(F.col("_t")) - 1).alias("_b")).agg(F.min("_t").alias("_next"))
+    found = F.coalesce("_own", "_next")
+    return own.join(following, [*keys, "_b"], "left").select(*keys, F.col("_t").alias("start_at"), F.when(found <= F.col("_t") + window_ms, found).alias("first_at"))
 
 
 def floor_percentile(values: Column | str, percent: int) -> Column:

@@ -30,15 +30,29 @@ def _fold(window_ms: int, limit: int):
     return run
 
 
+def _stretches(rows: DataFrame, window_ms: int) -> DataFrame:
+    """Adds `stretch`, the time of the event that opened it.
+
+    Time is cut into buckets as long as the window, so only the bucket before can hold an event less than a window back. All
+    row-level work is by client and bucket; by client alone only one row a bucket is looked at.
+    """
+    before = rows.groupBy("client", (F.col("bucket") + 1).alias("bucket")).agg(F.max("at_ms").alias("before"))
+    by = Window.partitionBy("client", "bucket").orderBy("at_ms", "seq")
+    gap = F.col("at_ms") - F.coalesce(F.lag("at_ms").over(by), F.col("before"))
+    opened = rows.join(before, ["client", "bucket"], "left").withColumn("gap", gap).withColumn("opens", F.when(F.col("gap") < window_ms, F.lit(None)).otherwise(F.col("at_ms")))
+    last = opened.groupBy("client", "bucket").agg(F.max("opens").alias("opens"))
+    earlier = Window.partitionBy("client").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.withColumn("carried", F.max("opens").over(earlier)).drop("opens")
+    within = F.max("opens").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return opened.join(carried, ["client", "bucket"]).withColumn("stretch", F.coalesce(within, "carried"))
+
+
 def anchored_counts(requests: DataFrame, window_ms: int, limit: int) -> DataFrame:
     """(client, at_ms, seq, n, allowed): the place of each request in its window, and whether it is within the limit.
 
     A window opens with the first request after the last one closed. Refused requests count too. Ties in time go by seq.
     Requests without a time are left out; those without a client are one client.
     """
-    rows = requests.filter("at_ms is not null").select(F.coalesce(F.col("client").cast("string"), F.lit("anon")).alias("client"), "at_ms", "seq")
-    by = Window.partitionBy("client").orderBy("at_ms", "seq")
-    opens = F.when(F.col("at_ms") - F.lag("at_ms").over(by) < window_ms, 0).otherwise(1)
-    cut = rows.withColumn("_opens", opens).withColumn("stretch", F.sum("_opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spread = cut.select("client", "stretch", "at_ms", "seq").repartition("client", "stretch").sortWithinPartitions("client", "stretch", "at_ms", "seq")
+    rows = requests.filter("at_ms is not null").select(F.coalesce(F.col("client").cast("string"), F.lit("anon")).alias("client"), "at_ms", "seq").withColumn("bucket", F.floor(F.col("at_ms") / window_ms))
+    spread = _stretches(rows, window_ms).select("client", "stretch", "at_ms", "seq").repartition("client", "stretch").sortWithinPartitions("client", "stretch", "at_ms", "seq")
     return spread.mapInArrow(_fold(window_ms, limit), "client string, at_ms long, seq long, n long, allowed boolean")
