@@ -129,7 +129,7 @@ _RESPONSES = [
 ]
 _WORD = re.compile(r"[^\W\d_]+")
 #: One word, or in scripts without blanks a few characters, over and over.
-_SAME_WORD = re.compile(r"(?<!\w)([^\W\d_]{2,30})(?:[ \n]+\1){5}(?!\w)", re.I)
+_SAME_WORD = re.compile(r"(?<!\w)([^\W\d_]{2,30}+)(?:[ \n]++\1){5}(?!\w)")
 _KANA = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]{16}")
 _SAME_KANA = re.compile(r"([\u3040-\u30ff\u4e00-\u9fff]{1,6}?)\1{7}")
 
