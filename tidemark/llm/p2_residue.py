@@ -129,7 +129,7 @@ _RESPONSES = [
 ]
 _WORD = re.compile(r"[^\W\d_]+")
 #: One word, or in scripts without blanks a few characters, over and over.
-_SAME_WORD = re.compile(r"(?<!\w)([^\W\d_]{2,30}+)(?:[ \n]++\1){5}(?!\w)")
+_SAME_WORD = re.compile(r" ([^\W\d_]{2,30}+)(?: \1){5}(?!\w)")
 _KANA = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]{16}")
 _SAME_KANA = re.compile(r"([\u3040-\u30ff\u4e00-\u9fff]{1,6}?)\1{7}")
 
@@ -148,7 +148,7 @@ def has_filler(prose: str) -> bool:
     low = prose.lower()
     if ("dolor" in low or "ipsum" in low or "lorem" in low or "eiusmod" in low) and any(_is_filler(p) for p in (*re.split(r"\n\s*\n", low), *low.split("\n"))):
         return True
-    if _SAME_WORD.search(low) or (_KANA.search(low) and _SAME_KANA.search(low)):
+    if _SAME_WORD.search(f" {' '.join(low.split())}") or (_KANA.search(low) and _SAME_KANA.search(low)):
         return True
     return any(pattern.search(prose) for held, pattern in _FILLERS if any(h in low for h in held))
 
