@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 #: ECMAScript white space and line ends, as the inside of a character class.
-BLANKS = r"\t-\r    -     　﻿"
+BLANKS = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 #: Note text that reads like an attempt to steer the reader (fixed values).
 STEERING = (
     r"(?i)\b(?:ignore (?:all|the|previous|above)|disregard (?:all|the|previous)|system prompt|you are now|new instructions?"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.text import BLANKS, body_hash, estimate_tokens, trimmed
 
 _INLINE_BLANKS = BLANKS.replace(r"\t-\r ", r"\t\x0b\x0c\r ")
-_HEADING = rf"#{{1,6}}[{_INLINE_BLANKS}]+[^\n\r  ]*(?=\n|\z)"
+_HEADING = rf"#{{1,6}}[{_INLINE_BLANKS}]+[^\n\r\x{{2028}}\x{{2029}}]*(?=\n|\z)"
 #: Bounds of a stored index.
 MAX_SECTIONS = 50
 MAX_BYTES = 600_000
