@@ -123,6 +123,22 @@ with e as (select distinct seq, url, domain from demand_event),
   r as (select field, value, n, (select count(distinct seq) from e) as total from c)
 """
 
+_P8 = r"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents),
+  v as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as ws from eval_item),
+  a as (select distinct doc_id, array_to_string(ws[i : i + 11], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as i from w where len(ws) >= 12)),
+  b as (select distinct item_id, array_to_string(ws[i : i + 11], ' ') as g from (select item_id, ws, unnest(range(1, len(ws) - 10)) as i from v where len(ws) >= 12)),
+  leaks as (select doc_id, item_id from a join b using (g))
+"""
+_P9 = """
+with w as (select doc_id, text, unnest(range(0, length(text) - 319)) as s from (select distinct doc_id, text from documents where length(text) >= 320)),
+  h as (select doc_id, s, md5(substr(text, s + 1, 320)) as h from w),
+  p as (select doc_id, s from h where h in (select h from h group by h having count(distinct doc_id) > 1)),
+  o as (select *, case when s <= max(s + 320) over (partition by doc_id order by s rows between unbounded preceding and 1 preceding) then 0 else 1 end as o from p),
+  r as (select *, sum(o) over (partition by doc_id order by s) as k from o),
+  spans as (select doc_id, min(s) as span_start, max(s) + 320 as span_end from r group by doc_id, k)
+"""
+
 ORACLE: dict[str, str] = {
     "p1_found": _P1_HOT + "select page_id, line_no from found",
     "p1_clean": _P1_HOT
@@ -140,10 +156,16 @@ with parts as (select distinct doc_id, unnest(string_split(text, chr(10) || chr(
   forms as (select doc_id, cast(s as bigint) as s, cast(s + length(p) as bigint) as e, trim(regexp_replace(lower(p), '\\s+', ' ', 'g')) as form from placed),
   firsts as (select doc_id, s, e, first_value(doc_id) over w as kept_doc, first_value(s) over w as kept_start from forms where length(form) >= 40 window w as (partition by form order by doc_id, s))
 select doc_id, s as span_start, e as span_end, kept_doc, kept_start from firsts where doc_id <> kept_doc or s <> kept_start""",
-    "p8_found": r"""
-with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents),
-  v as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as ws from eval_item),
-  a as (select distinct doc_id, array_to_string(ws[i : i + 11], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as i from w where len(ws) >= 12)),
-  b as (select distinct item_id, array_to_string(ws[i : i + 11], ' ') as g from (select item_id, ws, unnest(range(1, len(ws) - 10)) as i from v where len(ws) >= 12))
-select distinct doc_id, item_id from a join b using (g)""",
+    "p4_found": r"""
+with w as (select distinct page_id, regexp_extract_all(lower(markdown), '[\p{L}\p{N}]+') as ws from cached_page),
+  g as (select distinct page_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as s from (select page_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 100)),
+  n as (select page_id, count(*) as n from g group by page_id),
+  c as (select a.page_id as a, b.page_id as b, count(*) as k from g a join g b on a.s = b.s and a.page_id < b.page_id group by 1, 2)
+select a as page_id_a, b as page_id_b from c join n x on x.page_id = a join n y on y.page_id = b where k / (x.n + y.n - k)::double >= 0.7""",
+    "p8_found": _P8 + "select distinct doc_id, item_id from leaks",
+    "p8_clean": _P8 + "select doc_id, text from documents where doc_id not in (select doc_id from leaks)",
+    "p9_found": _P9 + "select * from spans",
+    "p9_portion": _P9
+    + """select d.doc_id, n_chars, coalesce(shared, 0) as shared_chars, case when n_chars > 0 then coalesce(shared, 0) / n_chars::double else 0.0 end as share
+from (select doc_id, max(coalesce(length(text), 0)) as n_chars from documents group by doc_id) d left join (select doc_id, cast(sum(span_end - span_start) as bigint) as shared from spans group by doc_id) s using (doc_id)""",
 }
