@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import addresses, html, rendering, text, urls
-from tidemark.operators import cutoffs, demand, notes, pages, replay, sections, stats, store, windows
+from tidemark.operators import answers, cutoffs, demand, notes, pages, replay, sections, stats, store, windows
 from tidemark.operators.snapshots import snapshot_changes
 from tidemark.plans import sql as S
 from tidemark.sources.feeds import release_times
@@ -665,6 +665,51 @@ def fetch_footer(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("page_id", rendering.footer(state, tokens, raw, saved, text.percent_saved(saved, raw), text.content_hash("markdown"), source).alias("footer"))
 
 
+def _canonical_sql(table: str, keys: str) -> str:
+    """Rows of `table` with keys and canonical_url of web addresses."""
+    return f"""(select {keys}, scheme || '://' || usr || case when bare = 'ar5iv.labs.arxiv.org' then 'ar5iv.org' else bare end || {S.PORT} || {S.NO_SLASH}
+    || case when len(list_filter({_PARAMS}, lambda x: lower(split_part(x, '=', 1)) in {_TRACKED})) > 0 then case when kept <> '' then '?' || kept else '' end else query end as canonical_url
+  from (select *, regexp_replace(host, '^www\\.', '') as bare, array_to_string(list_filter({_PARAMS}, lambda x: x <> '' and lower(split_part(x, '=', 1)) not in {_TRACKED}), '&') as kept from {S.url_parts(table, keys=keys)}))"""
+
+
+def _requests(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A request for each save's address: without a known hash, with the save's own, with the page's first, or with an unknown one; some for a section, some with a budget."""
+    rows = _saves(spark, root, "url", "created_at", "markdown", "original_tokens").filter("markdown is not null").withColumn("url_hash", urls.url_hash(urls.canonical("url")["canonical_url"]))
+    saves = Scratch(spark, "fetch").keep(rows.withColumn("content_hash", text.content_hash("markdown")), "saves")
+    first = store.put_if_absent(saves.select("url_hash", "created_at", "page_id", "content_hash"), "url_hash", "created_at", "page_id").select("url_hash", F.col("content_hash").alias("first_hash"))
+    kind = F.col("page_id") % 4
+    asked = saves.join(first, "url_hash").select(
+        F.col("page_id").alias("request_id"),
+        "url",
+        F.when(kind == 1, F.col("content_hash")).when(kind == 2, F.col("first_hash")).when(kind == 3, "unknown").alias("known_hash"),
+        F.when(F.col("page_id") % 5 == 0, "rows").alias("section"),
+        F.when(F.col("page_id") % 3 == 0, 200).alias("token_budget"),
+    )
+    current = store.latest(saves.select("url_hash", "created_at", "page_id", "markdown", "original_tokens"), "url_hash", "created_at", "page_id")
+    return asked, current, saves
+
+
+@query(
+    f"""with {S.SECTIONS}, keyed as (select page_id, created_at, left(sha256(canonical_url), 32) as url_hash, left(sha256(markdown), 16) as h from {_canonical_sql("(select distinct page_id, created_at, url, markdown from cached_page where markdown is not null)", "page_id, created_at, markdown")}),
+  latest as (select url_hash, arg_max(page_id, (created_at, page_id)) as current, arg_min(h, (created_at, page_id)) as first_hash from keyed group by url_hash),
+  req as (select k.page_id as request_id, k.url_hash, l.current, c.h as content_hash, case k.page_id % 4 when 1 then k.h when 2 then l.first_hash when 3 then 'unknown' end as known_hash, k.page_id % 5 = 0 as sectioned
+    from keyed k join latest l using (url_hash) join keyed c on c.page_id = l.current),
+  prior as (select url_hash, h, min(page_id) as prior from keyed group by url_hash, h),
+  st as (select r.*, p.prior, case when known_hash is not distinct from content_hash then 'unchanged' when p.prior is not null and not sectioned then 'delta'
+    when sectioned and exists (select 1 from sections s where s.page_id = r.current and contains(lower(s.heading), 'rows')) then 'section' else 'page' end as state from req r left join prior p on p.url_hash = r.url_hash and p.h = r.known_hash),
+  old as (select st.request_id, lower(s.heading) as name, arg_max(s.sha256, s.pos) as sha256 from st join sections s on s.page_id = st.prior where state = 'delta' group by 1, 2),
+  n as (select st.request_id, count(*) as total, count(*) filter (where old.sha256 is null or old.sha256 <> s.sha256) as changed from st join sections s on s.page_id = st.current left join old on old.request_id = st.request_id and old.name = lower(s.heading) where state = 'delta' group by 1)
+select st.request_id, state, content_hash, n.changed as sections_changed, n.total as sections_total from st left join n using (request_id)"""
+)
+def fetch_states(spark: SparkSession, root: str) -> DataFrame:
+    return answers.fetch_view(*_requests(spark, root)).select("request_id", "state", "content_hash", "sections_changed", "sections_total")
+
+
+@query()
+def fetch_answers(spark: SparkSession, root: str) -> DataFrame:
+    return answers.fetch_view(*_requests(spark, root))
+
+
 @query()
 def note_blocks(spark: SparkSession, root: str) -> DataFrame:
     """The three best notes of each target as a labelled block."""
