@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.text import body_hash, content_hash, estimate_tokens
+from tidemark.operators.order import with_previous
 from tidemark.operators.store import put_if_absent
 
 # Freshness in milliseconds, growth of a confirmed page's freshness, and the size of an empty page.
@@ -23,8 +24,8 @@ def completed(pages: DataFrame) -> DataFrame:
 
 def versions(saves: DataFrame, key: str, digest: str, at: str, seq: str) -> DataFrame:
     """(key, digest, at, seq): a row for each save whose digest differs from the save before; the first save is a version."""
-    by = Window.partitionBy(key).orderBy(at, seq)
-    return saves.select(key, digest, at, seq).withColumn("_before", F.lag(digest).over(by)).filter(F.col("_before").isNull() | (F.col("_before") != F.col(digest))).drop("_before")
+    before = with_previous(saves.select(key, digest, at, seq), key, [at, seq], digest, "_before")
+    return before.filter(F.col("_before").isNull() | (F.col("_before") != F.col(digest))).drop("_before")
 
 
 def adaptive_ttl(history: DataFrame, key: str, at: str, ring: int = RING) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import addresses, html, rendering, text, urls
 from tidemark.operators import answers, cutoffs, demand, notes, pages, replay, sections, stats, store, windows
+from tidemark.operators.order import with_previous
 from tidemark.operators.snapshots import snapshot_changes
 from tidemark.plans import sql as S
 from tidemark.sources.feeds import release_times
@@ -286,7 +287,7 @@ _CHAIN = f"""saves as (select page_id, hash, created_at, markdown, lag(page_id)
 
 def _chain(spark: SparkSession, root: str) -> DataFrame:
     rows = _saves(spark, root, "url", "created_at", "markdown").withColumn("url_hash", urls.url_hash("url"))
-    return rows.withColumn("prior", F.lag("page_id").over(Window.partitionBy("url_hash").orderBy("created_at", "page_id")))
+    return with_previous(rows.select("page_id", "url_hash", "created_at", "markdown"), "url_hash", ["created_at", "page_id"], "page_id", "prior")
 
 
 def _diff(spark: SparkSession, root: str) -> DataFrame:
