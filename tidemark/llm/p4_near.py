@@ -186,10 +186,10 @@ def _set_rows(run: int):
 def _codeword_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code = Golay()
     for batch in batches:
-        name, segment, node = (np.asarray(batch.column(k)) for k in range(3))
+        name, segment = (np.asarray(batch.column(k)) for k in range(2))
         row, index = code.nearby(segment)
         key = _mixed(name.view(np.uint64)[row] + _mixed(index.astype(np.uint64) + np.uint64(1)))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(segment[row]), pa.array(node[row])], ["key", "segment", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[row]), pa.array(segment[row])], ["key", "name", "segment"])
 
 
 def fingerprints(pages: DataFrame, id_col: str, text_col: str, run: int, least_words: int) -> DataFrame:
@@ -198,15 +198,26 @@ def fingerprints(pages: DataFrame, id_col: str, text_col: str, run: int, least_w
     return texts.mapInArrow(_print_rows(run, least_words), "id long, node long, names array<long>, segments array<int>, sketch array<long>")
 
 
-def candidate_nodes(prints: DataFrame) -> DataFrame:
-    """(a, b), a < b: nodes that share a bucket and a codeword index in some segment, with few differing bits there."""
+def candidate_nodes(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: nodes that share a bucket and in its segment are equal, or share a codeword and differ in few bits.
+
+    Codewords are joined between the distinct segments of a bucket, not between its nodes, so many records that differ
+    little give one pair of segments; those are then expanded to their nodes once.
+    """
     nodes = prints.select("node", "names", "segments").dropDuplicates(["node"])
     rows = nodes.select("node", F.explode(F.arrays_zip("names", "segments")).alias("x")).select(F.col("x.names").alias("name"), F.col("x.segments").alias("segment"), "node")
     shared = rows.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
-    keyed = rows.join(shared, "name", "left_semi").select("name", "segment", "node").mapInArrow(_codeword_rows, "key long, segment int, node long")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.bit_count(F.col("a.segment").bitwiseXOR(F.col("b.segment"))) <= ERRORS
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    kept = scratch.keep(rows.join(shared, "name", "left_semi").select("name", "segment", "node"), "rows")
+    x, y = kept.alias("x"), kept.alias("y")
+    equal = x.join(y, (F.col("x.name") == F.col("y.name")) & (F.col("x.segment") == F.col("y.segment")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    keyed = kept.select("name", "segment").distinct().mapInArrow(_codeword_rows, "key long, name long, segment int")
+    p, q = keyed.alias("p"), keyed.alias("q")
+    few = F.bit_count(F.col("p.segment").bitwiseXOR(F.col("q.segment"))) <= ERRORS
+    near = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.name") == F.col("q.name")) & (F.col("p.segment") < F.col("q.segment")) & few)
+    pairs = near.select("p.name", F.col("p.segment").alias("s"), F.col("q.segment").alias("t")).distinct()
+    left, right = (kept.select("name", F.col("segment").alias(c), F.col("node").alias(f"{c}_node")) for c in "st")
+    unlike = pairs.join(left, ["name", "s"]).join(right, ["name", "t"]).select(F.least("s_node", "t_node").alias("a"), F.greatest("s_node", "t_node").alias("b"))
+    return equal.unionByName(unlike).distinct()
 
 
 def _equal_hashes(a: Column, b: Column) -> Column:
@@ -246,9 +257,9 @@ class NearDuplicates:
         scratch = self._scratch = Scratch(pages.sparkSession, "p4")
         prints = scratch.keep(fingerprints(pages, id_col, text_col, run, least_words), "prints")
         sketches = prints.select("node", "sketch").dropDuplicates(["node"])
-        candidates = scratch.keep(sketched(candidate_nodes(prints), sketches, threshold), "candidates")
+        candidates = scratch.keep(sketched(candidate_nodes(prints, scratch), sketches, threshold), "candidates")
         self.members = scratch.keep(prints.select("id", "node").distinct(), "members")
-        scratch.drop("prints")
+        scratch.drop("prints", "rows")
         needed = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
         chosen = scratch.keep(self.members.join(needed, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "chosen")
         texts = pages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
