@@ -56,6 +56,32 @@ def test_code():
     assert {r for r, _ in keys & others} == set(range(4000))  # words at most 2 bits apart share a codeword
 
 
+def missed(union, common, pairs, seed=3):
+    """Of random pairs of sets with `common` of `union` runs in both, how many share no segment that makes them candidates."""
+    rng = np.random.default_rng(seed)
+    made, code = P.Fingerprints(3), P.Golay()
+    own = (union - common) // 2
+    found = np.zeros(pairs, bool)
+    for at in range(0, pairs, 1000):
+        n = min(1000, pairs - at)
+        runs = rng.integers(0, 1 << 63, (n, common + 2 * own), dtype=np.uint64)
+        offsets = np.arange(0, n * (common + own) + 1, common + own)
+        prints = [made.prints(offsets, np.sort(x, axis=1).ravel()) for x in (runs[:, : common + own], np.concatenate([runs[:, :common], runs[:, common + own :]], axis=1))]
+        pair, k = np.nonzero(prints[0][1] == prints[1][1])
+        x, y = (p[2][pair, k] for p in prints)
+        shared = set.intersection(*(set(zip(*(v.tolist() for v in code.nearby(w)))) for w in (x, y)))
+        near = np.zeros(len(pair), bool)
+        near[[r for r, _ in shared]] = True
+        near &= np.bitwise_count(x ^ y) <= P.ERRORS
+        found[at + pair[near]] = True
+    return pairs - int(found.sum())
+
+
+def test_recall_at_the_threshold():
+    """At most 1 in 1,000 pairs at the threshold and none a little above it may be lost."""
+    assert missed(100, 70, 6000) <= 6 and missed(100, 76, 6000) == 0
+
+
 def test_against_brute_force(spark):
     rows = sample()
     expected = brute(rows)
