@@ -78,6 +78,14 @@ def test_duplicated_skeletons(spark):
     assert reasons(spark, strange + copied + prose) == {i: "response" for i in range(4)}
 
 
+def test_message_of_many_pages(spark):
+    """A host may answer a large part of its addresses with one fixed text; under its pages with content the same text is only a notice."""
+    notice = "Please enable JavaScript to view this page"
+    rows = [(i, f"https://a.example/r{i}", f"# Title {i}\n\n{notice}\n\n{REAL.splitlines()[2]} Thus {'abcdefghijklmnopqrst'[i]} holds.") for i in range(20)]
+    rows += [(100 + i, f"https://a.example/p{i}", f"# Title {i}\n\n{notice}") for i in range(10)]
+    assert reasons(spark, rows) == {100 + i: "response" for i in range(10)}
+
+
 def test_clean(spark):
     df = spark.createDataFrame([(1, "u", "{{x}}"), (2, "u", REAL), (2, "u", REAL), (3, None, None)], SCHEMA)
     assert sorted(r.page_id for r in P.without_residue(df, P.residue_pages(df)).collect()) == [2, 3]

@@ -4,7 +4,7 @@ A page is excluded if its text outside code shows an unfilled placeholder or a p
 filler, or if it consists of an error message, an access refusal or a demand for scripts.
 
 The last kind is judged on short pages by combined evidence. Lines that the page's host repeats, and lines that look like
-what any host repeats, say nothing about the page and are left out. Of the rest, a line is a response line if it has the
+what any host repeats, say nothing about the page and are left out, but for messages: a host may answer many addresses with one. Of the rest, a line is a response line if it has the
 words of one in some language, or if its skeleton, with names, numbers and terms of the address masked, is duplicated
 across hosts while it names a slug and shares no term with the page's title. A page is a response if it has such a line and next to nothing else.
 
@@ -226,8 +226,8 @@ def residue_pages(pages: DataFrame, id_col: str = "page_id", text_col: str = "ma
     short = screened.filter("kind = 'line'").withColumn("site", site_of(F.col("url"))).withColumn("h", F.xxhash64("site", line_form(F.col("line")))).withColumn("sk", F.xxhash64(skeleton(F.col("line"))))
     marked = scratch.keep(short.join(hot, "h", "left"), "marked")
     chrome = marked.filter("excessive and not response").select("sk").distinct()
-    # a message that a host shows on a few pages stays a message; any other line that it shows again is none of the page's own
-    rest = scratch.keep(marked.filter("excessive is null or (response and not excessive)").join(chrome, "sk", "left_anti"), "rest")
+    # a message stays a message on however many pages a host shows it; any other line that it shows again is none of the page's own
+    rest = scratch.keep(marked.filter("excessive is null or response").join(chrome, "sk", "left_anti"), "rest")
     # scripts without blanks count a word for two characters
     words = F.size(F.filter(F.split("line", r"[^\p{L}\p{N}]+"), lambda w: w != "")) + F.floor(F.length(F.regexp_replace("line", r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]", "")) / 2)
     # an answer by a server names the address it is about, and says something around it
