@@ -86,6 +86,12 @@ def test_message_of_many_pages(spark):
     assert reasons(spark, rows) == {100 + i: "response" for i in range(10)}
 
 
+def test_redelivered_pages(spark):
+    """Other words count once however often a page is delivered; a page's equal lines all count."""
+    rows = [(1, "https://a.example/1", "404 Not Found\n\nGo back to the start page of it"), (2, "https://b.example/1", "404 Not Found\n\nGo back to the start page\n\nGo back to the start page")]
+    assert reasons(spark, rows) == reasons(spark, rows + rows[:1] * 3) == {1: "response"}
+
+
 def test_clean(spark):
     df = spark.createDataFrame([(1, "u", "{{x}}"), (2, "u", REAL), (2, "u", REAL), (3, None, None)], SCHEMA)
     assert sorted(r.page_id for r in P.without_residue(df, P.residue_pages(df)).collect()) == [2, 3]

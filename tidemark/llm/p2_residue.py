@@ -163,13 +163,16 @@ def is_response_line(line: str) -> bool:
     return any(pattern.search(line) for held, pattern in _RESPONSES if any(h in low for h in held))
 
 
+SCREENED = "id long, url string, kind string, line_no long, line string, response boolean, title string"
+
+
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each page: its own verdict, or if it is short its lines outside headings and the headings that are messages."""
     for batch in batches:
-        ids, urls, kinds, lines, response, titles = [], [], [], [], [], []
+        ids, urls, kinds, numbers, lines, response, titles = [], [], [], [], [], [], []
 
-        def add(key, url, kind, line=None, hit=False, title=None):
-            for column, value in zip((ids, urls, kinds, lines, response, titles), (key, url, kind, line, hit, title)):
+        def add(key, url, kind, number=None, line=None, hit=False, title=None):
+            for column, value in zip((ids, urls, kinds, numbers, lines, response, titles), (key, url, kind, number, line, hit, title)):
                 column.append(value)
 
         for key, url, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -181,19 +184,19 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif has_filler(prose):
                 add(key, url, "filler")
             else:
-                own = [x for x in text.split("\n") if x.strip()]
-                heads = [x for x in own if x.lstrip().startswith("#")]
-                body = [x for x in own if not x.lstrip().startswith("#")]
-                if sum(map(len, body)) <= SHORT:
-                    title = " ".join(heads)
-                    for line in body:
-                        add(key, url, "line", line, is_response_line(line), title)
-                    for line in heads:  # a message may stand in a heading; other headings are no text of their own
+                own = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
+                heads = [(i, x) for i, x in own if x.lstrip().startswith("#")]
+                body = [(i, x) for i, x in own if not x.lstrip().startswith("#")]
+                if sum(len(x) for _, x in body) <= SHORT:
+                    title = " ".join(x for _, x in heads)
+                    for i, line in body:
+                        add(key, url, "line", i, line, is_response_line(line), title)
+                    for i, line in heads:  # a message may stand in a heading; other headings are no text of their own
                         if is_response_line(line.lstrip("# \t")):
-                            add(key, url, "line", line, True, title)
+                            add(key, url, "line", i, line, True, title)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(kinds, pa.string()), pa.array(lines, pa.string()), pa.array(response, pa.bool_()), pa.array(titles, pa.string())],
-            ["id", "url", "kind", "line", "response", "title"],
+            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(kinds, pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), pa.array(response, pa.bool_()), pa.array(titles, pa.string())],
+            ["id", "url", "kind", "line_no", "line", "response", "title"],
         )
 
 
@@ -213,7 +216,7 @@ def residue_pages(pages: DataFrame, id_col: str = "page_id", text_col: str = "ma
     """(id_col, reason) of the pages to leave out; reason is `placeholder`, `filler` or `response`, one row a page."""
     scratch = Scratch(pages.sparkSession, "p2")
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("text")).filter("id is not null")
-    screened = scratch.keep(source.mapInArrow(_screen, "id long, url string, kind string, line string, response boolean, title string"), "screened")
+    screened = scratch.keep(source.mapInArrow(_screen, SCREENED), "screened")
     own = screened.filter("kind != 'line'").groupBy("id").agg(F.max("kind").alias("reason"))
 
     every = scratch.keep(hashed_lines(source, "id", "text", "url"), "lines")
@@ -223,7 +226,7 @@ def residue_pages(pages: DataFrame, id_col: str = "page_id", text_col: str = "ma
     scratch.drop("lines")
     if hot.count() <= BROADCAST_HASHES:
         hot = F.broadcast(hot)
-    short = screened.filter("kind = 'line'").withColumn("site", site_of(F.col("url"))).withColumn("h", F.xxhash64("site", line_form(F.col("line")))).withColumn("sk", F.xxhash64(skeleton(F.col("line"))))
+    short = screened.filter("kind = 'line'").dropDuplicates(["id", "line_no"]).withColumn("site", site_of(F.col("url"))).withColumn("h", F.xxhash64("site", line_form(F.col("line")))).withColumn("sk", F.xxhash64(skeleton(F.col("line"))))
     marked = scratch.keep(short.join(hot, "h", "left"), "marked")
     chrome = marked.filter("excessive and not response").select("sk").distinct()
     # a message stays a message on however many pages a host shows it; any other line that it shows again is none of the page's own
