@@ -92,6 +92,17 @@ def test_redelivered_pages(spark):
     assert reasons(spark, rows) == reasons(spark, rows + rows[:1] * 3) == {1: "response"}
 
 
+def test_long_repeated_lines(spark):
+    """On a site with much repeated text a message stands between more of it than a short page has."""
+    menu = "\n\n".join(f"Our {w} offers what readers of {w} pages look for, and more about it in the yearly {w} report" for w in (a + b for a in "abcde" for b in "fghij"))
+    assert len(menu) > P.SHORT
+    own = [f"{REAL.splitlines()[2]} Thus {'abcdefghijklmnopqrst'[i]} holds." for i in range(20)]
+    rows = [(i, f"https://a.example/r{i}", f"# Title {i}\n\n{menu}\n\n{own[i]}") for i in range(20)]
+    rows += [(100, "https://a.example/x", f"{menu}\n\nThe page nimgorin could not be found"), (101, "https://a.example/y", f"{menu}\n\nThe page nimgorin could not be found\n\n{own[0]} {own[1]}")]
+    rows += [(102, "https://b.example/y", f"{menu}\n\nThe page nimgorin could not be found")]
+    assert reasons(spark, rows + rows[-3:]) == {100: "response"}
+
+
 def test_clean(spark):
     df = spark.createDataFrame([(1, "u", "{{x}}"), (2, "u", REAL), (2, "u", REAL), (3, None, None)], SCHEMA)
     assert sorted(r.page_id for r in P.without_residue(df, P.residue_pages(df)).collect()) == [2, 3]

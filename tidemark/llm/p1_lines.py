@@ -34,10 +34,10 @@ def line_form(line: Column) -> Column:
 
 
 def hashed_lines(pages: DataFrame, id_col: str = "page_id", text_col: str = "markdown", url_col: str = "url") -> DataFrame:
-    """(id, line_no, site_key, h) of each line that counts; h is the hash of site and form."""
+    """(id, line_no, site_key, h, size) of each line that counts; h is the hash of site and form, size the line's characters."""
     at = pages.select(F.col(id_col).alias("id"), site_of(F.col(url_col)).alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
     at = at.filter(~F.col("line").rlike(r"(?U)^\s*#") & (2 * F.length("line") >= MIN_FORM)).withColumn("form", line_form(F.col("line")))
-    return at.filter(F.length("form") >= MIN_FORM).select("id", F.col("line_no").cast("long").alias("line_no"), F.xxhash64("site").alias("site_key"), F.xxhash64("site", "form").alias("h"))
+    return at.filter(F.length("form") >= MIN_FORM).select("id", F.col("line_no").cast("long").alias("line_no"), F.xxhash64("site").alias("site_key"), F.xxhash64("site", "form").alias("h"), F.length("line").alias("size"))
 
 
 def frequent_hashes(lines: DataFrame, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", min_pages: int = MIN_PAGES, share_percent: float = MIN_SHARE_PERCENT) -> DataFrame:
@@ -54,7 +54,7 @@ def frequent_hashes(lines: DataFrame, pages: DataFrame, id_col: str = "page_id",
 def frequent_lines(pages: DataFrame, id_col: str = "page_id", text_col: str = "markdown", url_col: str = "url", min_pages: int = MIN_PAGES, share_percent: float = MIN_SHARE_PERCENT) -> DataFrame:
     """(id_col, line_no) of every appearance of a line that its site repeats excessively."""
     scratch = Scratch(pages.sparkSession, "p1")
-    lines = scratch.keep(hashed_lines(pages, id_col, text_col, url_col), "lines")
+    lines = scratch.keep(hashed_lines(pages, id_col, text_col, url_col).drop("size"), "lines")
     hot = scratch.keep(frequent_hashes(lines, pages, id_col, url_col, min_pages, share_percent).select("h"), "frequent")
     if hot.count() <= BROADCAST_HASHES:
         hot = F.broadcast(hot)

@@ -3,7 +3,7 @@
 A page is excluded if its text outside code shows an unfilled placeholder or a printed empty value, if a paragraph is
 filler, or if it consists of an error message, an access refusal or a demand for scripts.
 
-The last kind is judged on short pages by combined evidence. Lines that the page's host repeats, and lines that look like
+The last kind is judged by combined evidence on pages that are short without the lines that their host repeats excessively. Lines that the page's host repeats, and lines that look like
 what any host repeats, say nothing about the page and are left out, but for messages: a host may answer many addresses with one. Of the rest, a line is a response line if it has the
 words of one in some language, or if its skeleton, with names, numbers and terms of the address masked, is duplicated
 across hosts while it names a slug and shares no term with the page's title. A page is a response if it has such a line and next to nothing else.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.p1_lines import BROADCAST_HASHES, MIN_PAGES, MIN_SHARE_PERCENT, frequent_hashes, hashed_lines, line_form, site_of
 from tidemark.sources.scratch import Scratch
 
-#: Characters outside headings up to which a page may be a response together with repeated lines.
+#: Characters outside headings, without the lines that its host repeats excessively, up to which a page may be a response.
 SHORT = 1500
 #: Words besides response lines that a response may have.
 OTHER_WORDS = 10
@@ -163,22 +164,25 @@ def is_response_line(line: str) -> bool:
     return any(pattern.search(line) for held, pattern in _RESPONSES if any(h in low for h in held))
 
 
-SCREENED = "id long, url string, kind string, line_no long, line string, response boolean, title string"
+SCREENED = "id long, url string, kind string, line_no long, line string, response boolean, title string, size long"
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page: its own verdict, or if it is short its lines outside headings and the headings that are messages."""
+def _screen(batches: Iterator[pa.RecordBatch], chosen: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of each page: its own verdict; or if it is short its lines outside headings and the headings that are messages; or its size.
+
+    Chosen pages give their lines whatever their verdict and size.
+    """
     for batch in batches:
-        ids, urls, kinds, numbers, lines, response, titles = [], [], [], [], [], [], []
+        ids, urls, kinds, numbers, lines, response, titles, sizes = [], [], [], [], [], [], [], []
 
-        def add(key, url, kind, number=None, line=None, hit=False, title=None):
-            for column, value in zip((ids, urls, kinds, numbers, lines, response, titles), (key, url, kind, number, line, hit, title)):
+        def add(key, url, kind, number=None, line=None, hit=False, title=None, size=None):
+            for column, value in zip((ids, urls, kinds, numbers, lines, response, titles, sizes), (key, url, kind, number, line, hit, title, size)):
                 column.append(value)
 
         for key, url, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if not text:
                 continue
-            prose = outside_code(text)
+            prose = "" if chosen else outside_code(text)
             if has_placeholder(prose):
                 add(key, url, "placeholder")
             elif has_filler(prose):
@@ -187,7 +191,10 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
                 heads = [(i, x) for i, x in own if x.lstrip().startswith("#")]
                 body = [(i, x) for i, x in own if not x.lstrip().startswith("#")]
-                if sum(len(x) for _, x in body) <= SHORT:
+                size = sum(len(x) for _, x in body)
+                if not chosen and size > SHORT:
+                    add(key, url, "long", size=size)
+                else:
                     title = " ".join(x for _, x in heads)
                     for i, line in body:
                         add(key, url, "line", i, line, is_response_line(line), title)
@@ -195,8 +202,8 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if is_response_line(line.lstrip("# \t")):
                             add(key, url, "line", i, line, True, title)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(kinds, pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), pa.array(response, pa.bool_()), pa.array(titles, pa.string())],
-            ["id", "url", "kind", "line_no", "line", "response", "title"],
+            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(kinds, pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), pa.array(response, pa.bool_()), pa.array(titles, pa.string()), pa.array(sizes, pa.int64())],
+            ["id", "url", "kind", "line_no", "line", "response", "title", "size"],
         )
 
 
@@ -217,15 +224,24 @@ def residue_pages(pages: DataFrame, id_col: str = "page_id", text_col: str = "ma
     scratch = Scratch(pages.sparkSession, "p2")
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("text")).filter("id is not null")
     screened = scratch.keep(source.mapInArrow(_screen, SCREENED), "screened")
-    own = screened.filter("kind != 'line'").groupBy("id").agg(F.max("kind").alias("reason"))
+    own = screened.filter("kind in ('placeholder', 'filler')").groupBy("id").agg(F.max("kind").alias("reason"))
 
     every = scratch.keep(hashed_lines(source, "id", "text", "url"), "lines")
     counts = frequent_hashes(every, source, "id", "url", min_pages=2, share_percent=0)
     excessive = (F.col("n") >= MIN_PAGES) & (F.col("n") * 100 >= F.col("site_n") * MIN_SHARE_PERCENT)
     hot = scratch.keep(counts.select("h", excessive.alias("excessive")), "hot")
-    scratch.drop("lines")
     if hot.count() <= BROADCAST_HASHES:
         hot = F.broadcast(hot)
+    repeated = every.join(hot.filter("excessive"), "h").groupBy("id", "line_no").agg(F.max("size").alias("size")).groupBy("id").agg(F.sum("size").alias("repeated"))
+    framed = screened.filter("kind = 'long'").join(repeated, "id").filter(F.col("size") - F.col("repeated") <= SHORT)
+    framed = scratch.keep(framed.select("id").distinct(), "framed")
+    scratch.drop("lines")
+    found = framed.count()
+    if found:  # long only by what the host repeats
+        if found <= BROADCAST_HASHES:
+            framed = F.broadcast(framed)
+        more = source.join(framed, "id", "left_semi").select("id", "url", "text")
+        screened = screened.unionByName(scratch.keep(more.mapInArrow(partial(_screen, chosen=True), SCREENED), "more"))
     short = screened.filter("kind = 'line'").dropDuplicates(["id", "line_no"]).withColumn("site", site_of(F.col("url"))).withColumn("h", F.xxhash64("site", line_form(F.col("line")))).withColumn("sk", F.xxhash64(skeleton(F.col("line"))))
     marked = scratch.keep(short.join(hot, "h", "left"), "marked")
     chrome = marked.filter("excessive and not response").select("sk").distinct()
