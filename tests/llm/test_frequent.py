@@ -60,3 +60,14 @@ def test_runs_go_on_over_batches():
     batches = [pa.RecordBatch.from_arrays([pa.array(["f"] * len(v)), pa.array(v)], ["field", "value"]) for v in (values[:3], values[3:3], values[3:4], values[4:9], values[9:])]
     got = [(v, n) for b in P._runs(iter(batches)) for v, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
     assert got == [("a", 5), ("b", 1), ("c", 6)] and list(P._runs(iter([]))) == []
+
+
+def test_runs_are_merged(spark):
+    runs = [("a", 5), ("a", 2), ("b", 1), ("b", 4), ("b", 1), ("c", 3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["f"] * len(r), pa.string()), pa.array([v for v, _ in r], pa.string()), pa.array([n for _, n in r], pa.int64())], ["field", "value", "n"]) for r in (runs[:1], runs[1:4], [], runs[4:])]
+    got = [(v, n) for b in P._runs(iter(batches)) for v, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+    assert got == [("a", 7), ("b", 6), ("c", 3)]
+    df = P.run_lengths(spark.createDataFrame([("f", f"v{i % 7}") for i in range(100)], "field string, value string").repartition(5))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Sort [" in plan and "Aggregate" not in plan
+    assert {r.value: r.n for r in df.collect()} == {f"v{i}": 15 if i < 2 else 14 for i in range(7)}

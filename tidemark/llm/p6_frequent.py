@@ -15,6 +15,7 @@ import math
 from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -22,8 +23,11 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.sources.scratch import Scratch
 
 
+RUNS = "field string, value string, n long"
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run-length counts of the sorted pairs (field, value); a run may go on over the end of a batch."""
+    """Run-length counts of the sorted pairs (field, value), or of sorted runs (field, value, n) with their counts combined; a run may go on over the end of a batch."""
     names = ["field", "value", "n"]
     last: tuple[str, str] | None = None
     held = 0
@@ -33,7 +37,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, value = batch.column(0), batch.column(1)
         new = pc.or_(pc.not_equal(field[1:], field[:-1]), pc.not_equal(value[1:], value[:-1])) if batch.num_rows > 1 else pa.array([], pa.bool_())
         starts = pa.concat_arrays([pa.array([0], pa.int64()), pc.add(pc.indices_nonzero(new).cast(pa.int64()), 1)])
-        lengths = pc.subtract(pa.concat_arrays([starts[1:], pa.array([batch.num_rows], pa.int64())]), starts).to_pylist()
+        if batch.num_columns > 2:
+            lengths = np.add.reduceat(batch.column(2).to_numpy(), starts.to_numpy()).tolist()
+        else:
+            lengths = pc.subtract(pa.concat_arrays([starts[1:], pa.array([batch.num_rows], pa.int64())]), starts).to_pylist()
         fields, values = field.take(starts), value.take(starts)
         first = (fields[0].as_py(), values[0].as_py())
         if last is not None and first == last:
@@ -83,10 +90,10 @@ class _Late:
 
 def run_lengths(values: DataFrame) -> DataFrame:
     """(field, value, n): one row for each distinct pair, in ranges of (field, value)."""
-    runs = values.sortWithinPartitions("field", "value").mapInArrow(_runs, "field string, value string, n long")
+    runs = values.sortWithinPartitions("field", "value").mapInArrow(_runs, RUNS)
     scratch = Scratch(values.sparkSession, "p6")
     ranged = scratch.keep(runs, "runs").repartitionByRange("field", "value").sortWithinPartitions("field", "value")
-    return ranged.groupBy("field", "value").agg(F.sum("n").alias("n"))
+    return ranged.mapInArrow(_runs, RUNS)
 
 
 def events_once(events: DataFrame, fields: list[str], id_col: str = "seq") -> DataFrame:
