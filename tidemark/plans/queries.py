@@ -1,7 +1,7 @@
 """Queries over the provided tables by name, and the SQL that checks them.
 
-Each runs over its whole tables. Where a table of the access log is redelivered, rows count once by their id. Times are compared
-with NOW, which stands for the caller's clock.
+Each runs over its whole tables. Where a table of the access log is redelivered, rows count once by their id; `stream_totals`
+alone counts deliveries. Times are compared with NOW, which stands for the caller's clock.
 """
 
 from __future__ import annotations
@@ -725,7 +725,10 @@ def note_blocks(spark: SparkSession, root: str) -> DataFrame:
 
 @query("select domain, cast(sum(greatest(0, coalesce(saved, 0))) as bigint) as saved, count(*) filter (where hit) as hits, count(*) filter (where not hit) as misses from activity group by domain")
 def stream_totals(spark: SparkSession, root: str) -> DataFrame:
-    """Running totals of the activity table read as a stream, as they stand when it has been read."""
+    """Running totals of the activity table read as a stream, as they stand when it has been read.
+
+    Deliveries are counted, as in its SQL: a row delivered twice counts twice, unlike in `domain_leaderboard` and `global_stats`.
+    """
     scratch = Scratch(spark, "stream")
     path = f"{root}/activity.parque[t]"  # a pattern, as a stream's source may be a folder or a file
     schema = read_table(spark, root, "activity").schema
