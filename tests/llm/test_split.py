@@ -1,5 +1,7 @@
 import random
+import time
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from tidemark.llm import p3_split as P
@@ -96,6 +98,65 @@ def test_sections(spark):
     assert {(r.page_id, r.pos) for r in got} == {(1, 0), (4, 0)}
     pieces = sorted((r.piece, r.overlap, r.text) for r in got if r.page_id == 1)
     assert "".join(t[o:] for _, o, t in pieces) == big and [p[0] for p in pieces] == list(range(len(pieces)))
-    whole = P.within_limit(df).distinct()
-    assert whole.count() == len(got) + 2
     assert P.split_sections(df.limit(0)).isEmpty()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["word ", "S. ", "\n\n", "\n", "😀", "x" * 37, "日本語。", "y" * 300, "é"]), min_size=1, max_size=60), st.integers(2, 300), st.integers(0, 200))
+def test_any_limit(parts, room, overlap):
+    """Whatever limit and overlap are, pieces keep to them."""
+    check("".join(parts), overlap + room, overlap)
+
+
+def test_no_boundaries():
+    for text, limit, overlap in [("x" * 400, 40, 10), ("x" * 400, 60, 20), ("x" * 300, 200, 180), ("😀" * 200, 100, 20), ("😀" * 200, 12, 10), ("x" * 300, 12, 10)]:
+        check(text, limit, overlap)
+    for limit, overlap in [(10, 9), (10, 10), (10, 12), (10, -1)]:
+        with pytest.raises(ValueError):
+            P.cut_points("x" * 400, limit, overlap)
+
+
+def test_cheapest_against_all_pairs():
+    """The hulls give a way as cheap as trying every boundary before each."""
+    rng = random.Random(8)
+    for _ in range(40):
+        text = "".join(rng.choice(["ab ", "cd. ", "\n", "\n\n", "efg ", "h" * 30, "😀"]) for _ in range(rng.randrange(40, 400)))
+        limit, overlap = rng.choice([(60, 10), (100, 20), (200, 150), (47, 3)])
+        sizes = [0]
+        for c in text:
+            sizes.append(sizes[-1] + (2 if ord(c) > 0xFFFF else 1))
+        total = sizes[-1]
+        if total <= limit:
+            continue
+        at, penalty = P.boundaries(text, limit - overlap)
+        unit = [0, *(sizes[k] for k in at), total]
+        penalty = [0.0, *penalty.tolist(), 0.0]
+        pieces = -(-(total - overlap) // (limit - overlap))
+        ideal = (total + (pieces - 1) * overlap) / pieces
+        best = [0.0] + [float("inf")] * (len(unit) - 1)
+        for j in range(1, len(unit)):
+            ways = [best[i] + P.IMBALANCE * ((unit[j] - unit[i] + overlap) / ideal - 1) ** 2 for i in range(1, j) if unit[j] - unit[i] <= limit - overlap]
+            if overlap < unit[j] <= limit:
+                ways.append(P.IMBALANCE * (unit[j] / ideal - 1) ** 2)
+            best[j] = min(ways, default=float("inf")) + penalty[j] + P.PIECE
+        before = P._cheapest(unit, penalty, limit, overlap, ideal)
+        cost, j = 0.0, len(unit) - 1
+        while j:
+            i = before[j]
+            size = unit[j] if i == 0 else unit[j] - unit[i] + overlap
+            cost += P.IMBALANCE * (size / ideal - 1) ** 2 + penalty[j] + P.PIECE
+            j = i
+        assert abs(cost - best[-1]) < 1e-6
+
+
+def test_many_boundaries():
+    began = time.monotonic()
+    check("short line\n" * 200_000, 2000, 200)
+    assert time.monotonic() - began < 10
+
+
+def test_rebuilt(spark):
+    bodies = ["Some words here. " * 200, "😀" * 1500, "日本語。" * 700]
+    df = spark.createDataFrame([(i, [("a", 1, b, None, 3)]) for i, b in enumerate(bodies)] * 2, "page_id long, sections array<struct<heading:string,level:int,body:string,sha256:string,tokens:long>>")
+    got = P.rebuilt(P.split_sections(df)).collect()
+    assert {(r.page_id, r.body) for r in got} == set(enumerate(bodies)) and len(got) == 3 and all(r.within and r.pieces > 1 for r in got)

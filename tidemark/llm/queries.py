@@ -54,6 +54,10 @@ def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     return p3_split.split_sections(_sections(spark, root)).distinct()
 
 
+def p3_rebuilt(spark: SparkSession, root: str) -> DataFrame:
+    return p3_split.rebuilt(p3_pieces(spark, root)).drop("pieces")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_near.NearDuplicates(_pages(spark, root)).pairs()
 
@@ -105,7 +109,7 @@ def p9_paragraphs(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p4_groups, p6_found, p6_counts, p6_top_urls, p7_ids, p8_found, p8_matches, p8_clean, p9_found, p9_portion, p9_paragraphs)
+    for f in (p1_found, p1_clean, p2_found, p2_clean, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_groups, p6_found, p6_counts, p6_top_urls, p7_ids, p8_found, p8_matches, p8_clean, p9_found, p9_portion, p9_paragraphs)
 }
 
 _P1_HOT = r"""
@@ -147,6 +151,9 @@ ORACLE: dict[str, str] = {
     left join (select page_id, count(*) as removed from found group by page_id) r using (page_id)""",
     "p3_found": """select distinct page_id, cast(pos as bigint) as pos from (select page_id, unnest(range(len(sections))) as pos, unnest(sections) as s from section_index)
     where length(s.body) + length(regexp_replace(s.body, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 2000""",
+    "p3_rebuilt": """select page_id, pos, body, true as within from
+    (select distinct page_id, pos, s.body as body, length(s.body) + length(regexp_replace(s.body, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) as units from
+      (select page_id, cast(unnest(range(len(sections))) as bigint) as pos, unnest(sections) as s from section_index)) where units > 2000""",
     "p6_found": _P6 + "select field, value from r where (field = 'url' and n * 1000 >= total * 4) or (field = 'domain' and n * 100 >= total * 2)",
     "p6_counts": _P6 + "select field, value, n, total from r where (field = 'url' and n * 1000 >= total * 4) or (field = 'domain' and n * 100 >= total * 2)",
     "p6_top_urls": _P6 + "select value, n from r where field = 'url' order by n desc, value limit 100",
