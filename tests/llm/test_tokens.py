@@ -1,4 +1,5 @@
 import random
+import time
 from pathlib import Path
 
 import pyarrow.parquet as pq
@@ -71,3 +72,18 @@ def test_cases(spark):
     got = P.encode_corpus(df).collect()
     assert [r.ids for r in got[:2]] == [[], []] and got[2] == got[3] and got[4].doc_id is None and len(got[5].ids) >= 1_000_000
     assert P.encode_corpus(df.limit(0)).isEmpty()
+
+
+def test_long_words(exact):
+    """A word without blanks takes time in proportion, but for a logarithm, and gives what the tokenizer gives."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (5_000, 100_000)]
+    words += ["a" * 30_000, "ab" * 20_000, "缓存页面" * 10_000]
+    began = time.monotonic()
+    bounds, ids = P.CorpusEncoder().encode(words)
+    assert time.monotonic() - began < 30
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == exact(words)
+    e = P.SpeculativeEncoder()
+    began = time.monotonic()
+    e.merge("".join(rng.choice("abcdefghij") for _ in range(1_000_000)).encode())
+    assert time.monotonic() - began < 60

@@ -11,11 +11,14 @@ special tokens are ordinary text. Repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import heapq
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -107,24 +110,32 @@ class SpeculativeEncoder:
         return ok
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: the earliest merge first, of equal ones the leftmost."""
-        parts = [self.by_bytes[bytes([b])] for b in word]
+        """Exact merging: the earliest merge first, of equal ones the leftmost. Parts are linked and pairs wait in a heap, so a word of n bytes takes n log n steps."""
+        parts = [self.by_bytes[word[i : i + 1]] for i in range(len(word))]
         rule = self.merge_of
-        while len(parts) > 1:
-            best = min(((*rule[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in rule), key=lambda r: (r[0], r[2]), default=None)
-            if best is None:
-                break
-            rank, token, _ = best
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and rule.get((parts[i], parts[i + 1]), (-1,))[0] == rank:
-                    out.append(token)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(*rule[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in rule]
+        heapq.heapify(waiting)
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n:
+                pair = parts[i], parts[after[i]]
+                if pair in rule:
+                    heapq.heappush(waiting, (*rule[pair], i, *pair))
+
+        while waiting:
+            _, token, i, x, y = heapq.heappop(waiting)
+            j = after[i] if parts[i] == x else n
+            if j >= n or parts[j] != y:  # one of the two has been merged since
+                continue
+            parts[i], parts[j] = token, -1
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            offer(before[i])
+        return [t for t in parts if t >= 0]
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are new to this worker; afterwards `words` holds them."""
@@ -227,10 +238,15 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id_col, ids): the ids of each text, without special tokens. One pass over the scan, no shuffle."""
+    """(id_col, ids): the ids of each text, without special tokens. One pass over the scan, no shuffle.
+
+    The tokenizer's file is read where the session runs and shipped to the workers.
+    """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    shipped = os.path.basename(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CorpusEncoder(tokenizer)
+        encoder = CorpusEncoder(SparkFiles.get(shipped))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start, stop in _blocks(texts):
