@@ -170,6 +170,15 @@ with w as (select distinct page_id, regexp_extract_all(lower(markdown), '[\p{L}\
   c as (select a.page_id as a, b.page_id as b, count(*) as k from g a join g b on a.s = b.s and a.page_id < b.page_id group by 1, 2)
 select a as page_id_a, b as page_id_b from c join n x on x.page_id = a join n y on y.page_id = b where k / (x.n + y.n - k)::double >= 0.7""",
     "p8_found": _P8 + "select distinct doc_id, item_id from leaks",
+    "p8_matches": r"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents),
+  v as (select distinct item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as ws from eval_item),
+  a as (select doc_id, i, array_to_string(ws[i : i + 11], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as i from w where len(ws) >= 12)),
+  b as (select item_id, j, array_to_string(ws[j : j + 11], ' ') as g from (select item_id, ws, unnest(range(1, len(ws) - 10)) as j from v where len(ws) >= 12)),
+  m as (select doc_id, item_id, i, i - j as shift from a join b using (g)),
+  r as (select *, i - row_number() over (partition by doc_id, item_id, shift order by i) as run from m),
+  n as (select doc_id, item_id, count(*) + 11 as match_words, min(i) - 1 as first_word from r group by doc_id, item_id, shift, run)
+select doc_id, item_id, match_words, first_word from n qualify row_number() over (partition by doc_id, item_id order by match_words desc, first_word) = 1""",
     "p8_clean": _P8 + "select doc_id, text from documents where doc_id not in (select doc_id from leaks)",
     "p9_found": _P9 + "select * from spans",
     "p9_portion": _P9
