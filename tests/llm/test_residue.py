@@ -95,7 +95,7 @@ def test_redelivered_pages(spark):
 def test_long_repeated_lines(spark):
     """On a site with much repeated text a message stands between more of it than a short page has."""
     menu = "\n\n".join(f"Our {w} offers what readers of {w} pages look for, and more about it in the yearly {w} report" for w in (a + b for a in "abcde" for b in "fghij"))
-    assert len(menu) > P.SHORT
+    assert len(menu) > 1500
     own = [f"{REAL.splitlines()[2]} Thus {'abcdefghijklmnopqrst'[i]} holds." for i in range(20)]
     rows = [(i, f"https://a.example/r{i}", f"# Title {i}\n\n{menu}\n\n{own[i]}") for i in range(20)]
     rows += [(100, "https://a.example/x", f"{menu}\n\nThe page nimgorin could not be found"), (101, "https://a.example/y", f"{menu}\n\nThe page nimgorin could not be found\n\n{own[0]} {own[1]}")]
@@ -113,3 +113,34 @@ def test_clean(spark):
 
 def test_long_text(spark):
     assert reasons(spark, [(1, "u", "word " * 300_000 + "{{ x }}"), (2, "u", "`" * 9999 + "word " * 100_000)]) == {1: "placeholder"}
+
+
+def test_any_language(spark):
+    """Lone messages in languages and words that no table of this project holds."""
+    probes = [
+        "La pagina richiesta non è stata trovata sul server.", "Página não encontrada.", "К сожалению, страница не найдена.", "Чтобы просматривать этот сайт, включите JavaScript.", "抱歉，您访问的页面不存在。", "请启用 JavaScript 以继续。",
+        "Sorry, we couldn't find what you were after.", "You are not authorised to see this.", "Deze pagina bestaat niet meer.", "Nie znaleziono strony.", "페이지를 찾을 수 없습니다.", "Sayfa bulunamadı", "Sidan kunde inte hittas.", "الصفحة غير موجودة",
+    ]
+    real = [
+        "The set {1} has one element and {2} has one too.", "If you've moved the page, the cache still keeps its empty copy for a while and drops it later than the others.", "Das Paket prüft den Auszug nach 512 Sekunden erneut.",
+        "Use f(x) = {x | x > 1} and \\frac{abc}{def} here.", "La caché garde chaque page une heure.", "キャッシュはページを一時間保存します。",
+    ]
+    rows = [(i, f"https://h{i}.example/a", f"# Word{i}\n\n{x}") for i, x in enumerate(probes)] + [(100 + i, f"https://k{i}.example/a", x) for i, x in enumerate(real)]
+    rows += [(200, "https://z.example/", "Dear {name}, thank you for the order."), (201, "https://z.example/2", "Buy <PRODUCT_NAME> now and save"), (202, "https://z.example/3", "# Price\n\nundefined\n\nA real line of text about the price of keys.")]
+    assert reasons(spark, rows) == {i: "response" for i in range(len(probes))} | {i: "placeholder" for i in (200, 201, 202)}
+
+
+def test_any_length(spark):
+    """A message counts whatever the length of what the host repeats, a lone page's own text is never cut."""
+    menu = "\n\n".join(f"Section {a}{b} of the yearly report for readers and writers of this place" for a in "abcdefghij" for b in "klmnopqrst")
+    own = [f"{REAL.splitlines()[2]} Thus {'abcdefghijklmnopqrst'[i]} holds." for i in range(20)]
+    rows = [(i, f"https://a.example/r{i}", f"# Title {i}\n\n{menu}\n\n{own[i]}") for i in range(20)] + [(100, "https://a.example/x", f"404 - Page not found. The page does not exist.\n\n{menu}")]
+    rows += [(101, "https://b.example/x", "404 - Page not found.\n\n" + "some real words " * 5000)]
+    assert reasons(spark, rows) == {100: "response"}
+
+
+def test_partial_hint(spark):
+    """A page that the crawler took for an unrendered one may have some more words besides the message."""
+    text = "Please enable JavaScript to view this page\n\nNimgorin corist epheth wex olar tand brui keel marr osto dunn filt"
+    df = spark.createDataFrame([(1, "https://a.example/", text, True), (2, "https://b.example/", text, None), (3, "https://c.example/", REAL, True)], SCHEMA + ", spa_partial boolean")
+    assert [tuple(r) for r in P.residue_pages(df).collect()] == [(1, "response")]

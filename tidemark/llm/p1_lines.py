@@ -16,8 +16,13 @@ from tidemark.sources.scratch import Scratch
 MIN_FORM = 20
 MIN_PAGES = 6
 MIN_SHARE_PERCENT = 5
-#: Hashes that may be broadcast: 2 million longs are about 32 MB as a hash relation. Beyond, the join shuffles.
-BROADCAST_HASHES = 2_000_000
+#: Rows of a long or two that may be broadcast: as a hash relation a row takes about 60 bytes, so these are some 18 MB. Beyond, the join shuffles.
+BROADCAST_ROWS = 300_000
+
+
+def limited(rows: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it was counted and found within the bound."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def site_of(url: Column) -> Column:
@@ -56,9 +61,7 @@ def frequent_lines(pages: DataFrame, id_col: str = "page_id", text_col: str = "m
     scratch = Scratch(pages.sparkSession, "p1")
     lines = scratch.keep(hashed_lines(pages, id_col, text_col, url_col).drop("size"), "lines")
     hot = scratch.keep(frequent_hashes(lines, pages, id_col, url_col, min_pages, share_percent).select("h"), "frequent")
-    if hot.count() <= BROADCAST_HASHES:
-        hot = F.broadcast(hot)
-    return lines.join(hot, "h", "left_semi").select(F.col("id").alias(id_col), "line_no").distinct()
+    return lines.join(limited(hot), "h", "left_semi").select(F.col("id").alias(id_col), "line_no").distinct()
 
 
 def without_lines(pages: DataFrame, found: DataFrame, id_col: str = "page_id", text_col: str = "markdown") -> DataFrame:
@@ -68,5 +71,6 @@ def without_lines(pages: DataFrame, found: DataFrame, id_col: str = "page_id", t
     """
     drop = found.groupBy(id_col).agg(F.collect_set("line_no").alias("_drop"))
     once = pages.select(id_col, text_col).dropDuplicates([id_col])
-    kept = F.expr(f"array_join(filter(split({text_col}, '\\n'), (x, i) -> not array_contains(_drop, cast(i as bigint))), '\\n')")
+    # the numbers that stay are told by hash, not by looking through the dropped ones for each line
+    kept = F.expr(f"array_join(transform(array_except(sequence(0L, cast(size(split({text_col}, '\\n')) - 1 as bigint)), _drop), i -> split({text_col}, '\\n')[cast(i as int)]), '\\n')")
     return once.join(drop, id_col, "left").select(id_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept).alias(text_col), F.coalesce(F.size("_drop"), F.lit(0)).alias("removed"))

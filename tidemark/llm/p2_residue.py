@@ -3,10 +3,13 @@
 A page is excluded if its text outside code shows an unfilled placeholder or a printed empty value, if a paragraph is
 filler, or if it consists of an error message, an access refusal or a demand for scripts.
 
-The last kind is judged by combined evidence on pages that are short without the lines that their host repeats excessively. Lines that the page's host repeats, and lines that look like
-what any host repeats, say nothing about the page and are left out, but for messages: a host may answer many addresses with one. Of the rest, a line is a response line if it has the
-words of one in some language, or if its skeleton, with names, numbers and terms of the address masked, is duplicated
-across hosts while it names a slug and shares no term with the page's title. A page is a response if it has such a line and next to nothing else.
+The last kind is judged by combined evidence on what is left of a page without the lines that its host repeats
+excessively, however long the page is. On pages of little information, lines that look like what any host repeats say nothing
+about the page either. Of the rest, a line is a response line if a sentence of it has the meaning of a message in some language (`message_terms`), or if
+its skeleton, with names, numbers and terms of the address masked, is duplicated over hosts, or over much of one host,
+around different names while it names a slug and shares no term with the page's title and address. A page is a response if
+it has such a line and next to nothing else; of a page that its crawler took for an unrendered one, a little more may be left.
+Evidence of skeletons alone counts for pages of little information only.
 
 Null and empty texts are no cases. Rows with one id count once.
 """
@@ -15,18 +18,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.p1_lines import BROADCAST_HASHES, MIN_PAGES, MIN_SHARE_PERCENT, frequent_hashes, hashed_lines, line_form, site_of
+from tidemark.llm.message_terms import MessageFinder
+from tidemark.llm.p1_lines import MIN_PAGES, MIN_SHARE_PERCENT, frequent_hashes, limited, line_form, site_of
 from tidemark.sources.scratch import Scratch
 
-#: Characters outside headings, without the lines that its host repeats excessively, up to which a page may be a response.
-SHORT = 1500
-#: Words besides response lines that a response may have.
+#: Words besides response lines that a response may have; twice as many if the page was taken for an unrendered one.
 OTHER_WORDS = 10
+#: Words after the message in its own line, an explanation, that don't count among the others.
+EXPLANATION_WORDS = 30
+#: Words without what its host repeats, up to which a page has so little information that its likeness to other hosts' pages counts: a
+#: duplicated skeleton can make it a response, and lines like those that other hosts repeat are none of its own.
+LITTLE_WORDS = 250
+#: Pages of its host on which a line of such a page must stand to be none of its own, where the host is too small for it to be excessive.
+AGAIN = 3
 #: Hosts on which a skeleton must stand to count as a duplicated response.
 HOSTS = 3
 #: Words up to which a line carries little enough for its skeleton to count.
@@ -40,7 +48,7 @@ PLACEHOLDERS = [
     r"\{%[^%\n]{1,80}%\}",
     r"[$#]\{[^{}\n]{1,80}\}",
     r"\{\$[A-Za-z_]\w*\}",
-    r"\{\d{1,2}\}",
+    r"(?<![\w\\^_$={}/@:])\{[A-Za-z_][A-Za-z0-9_]{2,40}(?:\.[A-Za-z_]\w*)*\}(?![\w{}/])",
     r"<%=?[^%\n]{1,80}%>",
     r"%%[A-Z][A-Z0-9_]*%%",
     r"(?<!\w)%[A-Z][A-Z0-9]*_[A-Z0-9_]*%(?!\w)",
@@ -49,7 +57,9 @@ PLACEHOLDERS = [
     r"\[\[[A-Za-z_][\w .-]*\]\]",
     r"\[(?i:insert|enter|replace|add|your|put|type)\b[^\]\n]{0,60}(?i:here|text|name|title)\](?!\()",
     r"(?:<|&lt;)[a-z]+(?:[ _-](?:name|placeholder|title|here|value|text|date|author))(?:>|&gt;)",
+    r"<[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+>|<(?:NAME|TITLE|DATE|EMAIL|CITY|COMPANY|PRODUCT|USERNAME|YEAR|AUTHOR)>",
     r"\[object [A-Z]\w*\]",
+    r"(?m)^\W*(?:undefined|null|NaN)\W*$",
     r"\bundefined undefined\b|\bnull null\b|\bNone None\b",
     r"\bNaN(?: [a-z]+){1,2} ago\b|\bNaN[/:%]|\$NaN\b|\bInvalid Date\b",
     r"\bTODO: ?(?:add|write|insert|fill|replace)\b|\bTKTK\b",
@@ -69,65 +79,17 @@ FILLER = [
     r"\btexto (?:de ejemplo|de relleno|ficticio|de muestra)\b.{0,120}\b(?:reempl|sustit|su propio)",
     r"(?:ダミーテキスト|サンプルテキスト|仮のテキスト)",
 ]
-# The words of error messages, refusals and demands for scripts.
-RESPONSES = [
-    r"^\W*[45]\d\d\s*[—–:-]\s+\w|^\W*[45]\d\d\b(?!\.\s).{0,60}\b(?:not found|error|forbidden|gone|unavailable|failed|bad gateway|unauthorized|denied|time-?out)\b",
-    r"\b(?:error|erreur|fehler|c[oó]digo|status|エラー)\s*:?\s*[45]\d\d\b",
-    r"\b(?:page|file|document|site|url|address|resource|content)\b.{0,60}\b(?:not found|not be found|could not be found|does not exist|doesn't exist|no longer (?:exists|available)|been (?:re)?moved)\b",
-    r"\bnothing (?:at|under) this address\b|\bwe (?:looked|searched) for\b.{0,100}\b(?:nothing|no (?:page|result))\b|\bcannot (?:GET|POST) /",
-    r"\b(?:access|permission|request)\b.{0,80}\b(?:denied|forbidden|refused|blocked|rejected)\b|\b(?:lack|do not have|don't have|missing) (?:the )?(?:rights?|permissions?|access)\b",
-    r"\btoo many requests\b|\brate limit(?:ed)?\b.{0,60}\b(?:reached|exceeded|try again)\b|\btry again (?:in|later|after)\b",
-    r"\bsomething went wrong\b|\b(?:has|have) been (?:told|notified|informed)\b.{0,60}\b(?:back|reload|retry)\b|\bunexpected error\b|\binternal server error\b|\bbad gateway\b|\bservice unavailable\b|\bgateway time-?out\b",
-    r"\b(?:down|closed|offline|unavailable) for (?:upkeep|maintenance|repairs?|updates?)\b|\bunder maintenance\b|\bscheduled maintenance\b",
-    r"\bsession (?:has )?(?:expired|timed out)\b|\b(?:sign|log) in to (?:continue|view|see|read|access)\b",
-    r"\b(?:opened|visited|requested) by a (?:person|human)\b|\b(?:verify|checking|prove|confirm)\b.{0,60}\b(?:you are|you're|is) (?:not )?(?:a )?(?:human|person|robot|bot)\b|\bcaptcha\b|\bnot a program\b",
-    r"^\s*Traceback\b|^\s*File .{1,120}, line \d+|^\s*\w*(?:Error|Exception)\s*:\s|\b(?:fatal|parse|syntax|runtime) error\b|\bon line \d+\s*$|\bstack trace\b|\bcore dumped\b|\bundefined (?:index|variable|offset)\b",
-    r"^\s*noscript\b|\b(?:enable|allow|activate|turn on|switch on|requires?|needs?|(?:work|run|load|function)s? without|blocks?|disabled?)\b.{0,60}\b(?:java\s?script|js|scripts?|scripting|client-side code)\b|\b(?:java\s?script|js|scripts?|scripting|client-side code)\b.{0,60}\b(?:enabled?|allow(?:ed)?|activated?|turned on|switched on|required|needed|disabled|on)\b|^\s*loading\b.{0,80}(?:…|\.\.\.)\s*$",
-    r"\b(?:JavaScript|Skripte?)\b.{0,60}\b(?:aktivieren|einschalten|erlauben|zulassen|aktiviert|erforderlich|benötigt)\b|\b(?:aktivieren|erlauben|schalten)\b.{0,40}\b(?:JavaScript|Skripte?)\b",
-    r"\b(?:Seite|Datei|Adresse|Eintrag|Dokument)\b.{0,80}\b(?:nicht gefunden|existiert nicht|wurde entfernt|nicht (?:mehr )?(?:verfügbar|vorhanden))\b|\bZugriff\b.{0,60}\b(?:verweigert|gesperrt)\b|\bzu viele Anfragen\b|\bWartungsarbeiten\b|\binterner Serverfehler\b|\bspäter (?:erneut|noch einmal)\b",
-    r"\b(?:activez|activer|autorisez|autoriser)\b.{0,40}\b(?:JavaScript|scripts?)\b|\bJavaScript\b.{0,60}\b(?:activé|désactivé|requis|nécessaire)\b",
-    r"\b(?:page|fichier|document|adresse)\b.{0,80}\b(?:introuvable|n'existe (?:pas|plus)|interdite?|supprimée?)|\baccès\b.{0,60}\b(?:refusé|interdit)|\btrop de requêtes\b|\ben maintenance\b|\bune erreur\b.{0,40}\b(?:produite|survenue)\b",
-    r"\b(?:habilite|active|activa|permita)\b.{0,40}\b(?:JavaScript|scripts?)\b|\bJavaScript\b.{0,60}\b(?:activado|habilitado|desactivado|necesario)\b",
-    r"\bno se (?:pudo|puede|ha podido)\b.{0,80}\b(?:abrir|encontrar|cargar|mostrar|servidor)\b|\bservidor respondió\b|\bpágina\b.{0,60}\b(?:no encontrada|no existe|no disponible)\b|\bacceso\b.{0,60}\b(?:denegado|prohibido)\b|\bdemasiadas (?:solicitudes|peticiones)\b|\ben mantenimiento\b",
-    r"JavaScript.{0,30}(?:有効|オン|必要|許可)|スクリプト.{0,30}(?:有効|オン|必要|許可)|ページ.{0,20}(?:見つかりません|存在しません)|アクセス.{0,20}(?:拒否|禁止|できません)|エラーが発生|メンテナンス中|リクエストが多すぎ",
-]
 FENCE = re.compile(r"^[ \t>]*(```+|~~~+)[^\n]*(?:\n.*?(?:^[ \t>]*\1[^\n]*$|\Z)|\Z)", re.S | re.M)
 INLINE = re.compile(r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
 #: For each pattern strings of which a match holds at least one; a text without them needn't be searched.
-_HELD = ["{{", "{%", ("${", "#{"), "{$", "{", "<%", "%%", "%", "@@", "__", "[[", "[", ("<", "&lt;"), "[object ", ("undefined u", "null n", "None N"), ("NaN", "Invalid D"), ("TODO:", "TKTK")]
+_HELD = ["{{", "{%", ("${", "#{"), "{$", "{", "<%", "%%", "%", "@@", "__", "[[", "[", ("<", "&lt;"), "<", "[object ", ("undefined", "null", "NaN"), ("undefined u", "null n", "None N"), ("NaN", "Invalid D"), ("TODO:", "TKTK")]
 _PLACEHOLDERS = [(held if isinstance(held, tuple) else (held,), re.compile(pattern)) for held, pattern in zip(_HELD, PLACEHOLDERS, strict=True)]
+#: Numbered placeholders count from 0; numbers in braces without it are sets.
+_NUMBERED = re.compile(r"\{0\}.*?\{1\}|(?<![\w\\^_={}])\{0\}(?![\w{}])", re.S)
 _FILLERS = [
     (held, re.compile(pattern, re.I | re.S))
     for held, pattern in zip([("sample ", "placeholder ", "dummy ", "filler ", "example "), ("blindtext", "platzhaltertext", "beispieltext"), ("texte ",), ("texto ",), ("テキスト",)], FILLER, strict=True)
 ]
-_RESPONSES = [
-    (held, re.compile(pattern, re.I))
-    for held, pattern in zip(
-        [
-            ("4", "5"),
-            ("4", "5"),
-            ("found", "exist", "available", "moved"),
-            ("address", "we looked", "we searched", "cannot "),
-            ("denied", "forbidden", "refused", "blocked", "rejected", "right", "permission", "access"),
-            ("too many requests", "rate limit", "try again"),
-            ("something went", "has been", "have been", "unexpected", "internal", "bad gateway", "unavailable", "gateway time"),
-            ("down", "closed", "offline", "unavailable", "maintenance"),
-            ("session", "sign in", "log in"),
-            ("opened", "visited", "requested", "verify", "checking", "prove", "confirm", "captcha", "program"),
-            ("traceback", "file ", "error", "exception", "line", "stack trace", "core dumped", "undefined"),
-            ("noscript", "script", "js", "client-side", "loading"),
-            ("script", "skript"),
-            ("seite", "datei", "adresse", "eintrag", "dokument", "zugriff", "anfragen", "wartung", "server", "später"),
-            ("script",),
-            ("page", "fichier", "document", "adresse", "accès", "requêtes", "maintenance", "erreur"),
-            ("script",),
-            ("no se ", "servidor", "página", "acceso", "demasiadas", "mantenimiento"),
-            ("javascript", "スクリプト", "ページ", "アクセス", "エラー", "メンテナンス", "リクエスト"),
-        ],
-        RESPONSES,
-        strict=True,
-    )
-]
 _WORD = re.compile(r"[^\W\d_]+")
 #: One word, or in scripts without blanks a few characters, over and over.
 _SAME_WORD = re.compile(r" ([^\W\d_]{2,30}+)(?: \1){5}(?!\w)")
@@ -141,7 +103,7 @@ def outside_code(text: str) -> str:
 
 
 def has_placeholder(prose: str) -> bool:
-    return any(pattern.search(prose) for held, pattern in _PLACEHOLDERS if any(h in prose for h in held))
+    return ("{0}" in prose and _NUMBERED.search(prose) is not None) or any(pattern.search(prose) for held, pattern in _PLACEHOLDERS if any(h in prose for h in held))
 
 
 def has_filler(prose: str) -> bool:
@@ -159,52 +121,38 @@ def _is_filler(paragraph: str) -> bool:
     return len(words) >= 8 and 2 * sum(w in FILLER_WORDS for w in words) > len(words)
 
 
-def is_response_line(line: str) -> bool:
-    low = line.lower()
-    return any(pattern.search(line) for held, pattern in _RESPONSES if any(h in low for h in held))
-
+_WORDS = re.compile(r"[^\W_]+")
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
 
-SCREENED = "id long, url string, kind string, line_no long, line string, response boolean, title string, size long"
 
+def word_count(text: str) -> int:
+    """Runs of letters and digits; scripts without blanks count a word for two characters besides."""
+    return len(_WORDS.findall(text)) + (0 if text.isascii() else len(_DENSE.findall(text)) // 2)
 
-def _screen(batches: Iterator[pa.RecordBatch], chosen: bool = False) -> Iterator[pa.RecordBatch]:
-    """Of each page: its own verdict; or if it is short its lines outside headings and the headings that are messages; or its size.
 
-    Chosen pages give their lines whatever their verdict and size.
-    """
-    for batch in batches:
-        ids, urls, kinds, numbers, lines, response, titles, sizes = [], [], [], [], [], [], [], []
+def is_response_line(line: str) -> bool:
+    return any(True for _ in MessageFinder().lines(line))
 
-        def add(key, url, kind, number=None, line=None, hit=False, title=None, size=None):
-            for column, value in zip((ids, urls, kinds, numbers, lines, response, titles, sizes), (key, url, kind, number, line, hit, title, size)):
-                column.append(value)
 
-        for key, url, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page its own verdict, or else its lines that hold a message, with the words before the message and those after it that exceed an explanation."""
+    finder = MessageFinder()
+    for batch in batches:
+        ids, kinds, numbers, lines, rests = [], [], [], [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not text:
                 continue
-            prose = "" if chosen else outside_code(text)
-            if has_placeholder(prose):
-                add(key, url, "placeholder")
-            elif has_filler(prose):
-                add(key, url, "filler")
-            else:
-                own = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
-                heads = [(i, x) for i, x in own if x.lstrip().startswith("#")]
-                body = [(i, x) for i, x in own if not x.lstrip().startswith("#")]
-                size = sum(len(x) for _, x in body)
-                if not chosen and size > SHORT:
-                    add(key, url, "long", size=size)
-                else:
-                    title = " ".join(x for _, x in heads)
-                    for i, line in body:
-                        add(key, url, "line", i, line, is_response_line(line), title)
-                    for i, line in heads:  # a message may stand in a heading; other headings are no text of their own
-                        if is_response_line(line.lstrip("# \t")):
-                            add(key, url, "line", i, line, True, title)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(kinds, pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), pa.array(response, pa.bool_()), pa.array(titles, pa.string()), pa.array(sizes, pa.int64())],
-            ["id", "url", "kind", "line_no", "line", "response", "title", "size"],
-        )
+            prose = outside_code(text)
+            kind = "placeholder" if has_placeholder(prose) else "filler" if has_filler(prose) else None
+            if kind:
+                for column, value in zip((ids, kinds, numbers, lines, rests), (key, kind, None, None, 0)):
+                    column.append(value)
+                continue
+            for line_no, line, before, after in finder.lines(text):
+                over = sum(map(word_count, before)) + max(0, sum(map(word_count, after)) - EXPLANATION_WORDS)
+                for column, value in zip((ids, kinds, numbers, lines, rests), (key, "message", line_no, line, over)):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), pa.array(rests, pa.int64())], ["id", "kind", "line_no", "line", "rest"])
 
 
 #: Marks in skeletons: small letters that don't occur by themselves.
@@ -219,49 +167,82 @@ def skeleton(line):
     return F.trim(F.regexp_replace(F.lower(masked), r"[^\p{L}\p{N}]+", " "))
 
 
-def residue_pages(pages: DataFrame, id_col: str = "page_id", text_col: str = "markdown", url_col: str = "url") -> DataFrame:
-    """(id_col, reason) of the pages to leave out; reason is `placeholder`, `filler` or `response`, one row a page."""
+def _words(line: Column, form: Column) -> Column:
+    """word_count in Catalyst."""
+    dense = F.floor(F.length(F.regexp_replace(line, r"[^\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{0e00}-\x{0e7f}]", "")) / 2)
+    return F.when(form == "", 0).otherwise(F.size(F.split(form, " "))) + F.when(F.octet_length(line) > F.length(line), dense).otherwise(0)
+
+
+def _body_lines(source: DataFrame) -> DataFrame:
+    """(id, site, line_no, line, form, h) of the lines that aren't headings and have a letter or digit; h is null for forms too short to count as repeated."""
+    at = source.select("id", site_of(F.col("url")).alias("site"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    at = at.filter(~F.col("line").rlike(r"(?U)^\s*(?:#|$)")).withColumn("form", line_form(F.col("line"))).filter("form != ''")
+    h = F.when(F.length("form") >= 20, F.xxhash64("site", "form"))
+    return at.select("id", "site", F.col("line_no").cast("long").alias("line_no"), "line", "form", h.alias("h"))
+
+
+def residue_pages(pages: DataFrame, id_col: str = "page_id", text_col: str = "markdown", url_col: str = "url", partial_col: str | None = "spa_partial") -> DataFrame:
+    """(id_col, reason) of the pages to leave out; reason is `placeholder`, `filler` or `response`, one row a page.
+
+    partial_col is the crawler's hint that a page is an unrendered one; None, or a table without that column, gives no hint.
+    """
     scratch = Scratch(pages.sparkSession, "p2")
-    source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("text")).filter("id is not null")
-    screened = scratch.keep(source.mapInArrow(_screen, SCREENED), "screened")
-    own = screened.filter("kind in ('placeholder', 'filler')").groupBy("id").agg(F.max("kind").alias("reason"))
-
-    every = scratch.keep(hashed_lines(source, "id", "text", "url"), "lines")
-    counts = frequent_hashes(every, source, "id", "url", min_pages=2, share_percent=0)
-    excessive = (F.col("n") >= MIN_PAGES) & (F.col("n") * 100 >= F.col("site_n") * MIN_SHARE_PERCENT)
-    hot = scratch.keep(counts.select("h", excessive.alias("excessive")), "hot")
-    if hot.count() <= BROADCAST_HASHES:
-        hot = F.broadcast(hot)
-    repeated = every.join(hot.filter("excessive"), "h").groupBy("id", "line_no").agg(F.max("size").alias("size")).groupBy("id").agg(F.sum("size").alias("repeated"))
-    framed = screened.filter("kind = 'long'").join(repeated, "id").filter(F.col("size") - F.col("repeated") <= SHORT)
-    framed = scratch.keep(framed.select("id").distinct(), "framed")
-    scratch.drop("lines")
-    found = framed.count()
-    if found:  # long only by what the host repeats
-        if found <= BROADCAST_HASHES:
-            framed = F.broadcast(framed)
-        more = source.join(framed, "id", "left_semi").select("id", "url", "text")
-        screened = screened.unionByName(scratch.keep(more.mapInArrow(partial(_screen, chosen=True), SCREENED), "more"))
-    short = screened.filter("kind = 'line'").dropDuplicates(["id", "line_no"]).withColumn("site", site_of(F.col("url"))).withColumn("h", F.xxhash64("site", line_form(F.col("line")))).withColumn("sk", F.xxhash64(skeleton(F.col("line"))))
-    marked = scratch.keep(short.join(hot, "h", "left"), "marked")
-    chrome = marked.filter("excessive and not response").select("sk").distinct()
-    # a message stays a message on however many pages a host shows it; any other line that it shows again is none of the page's own
-    rest = scratch.keep(marked.filter("excessive is null or response").join(chrome, "sk", "left_anti"), "rest")
-    # scripts without blanks count a word for two characters
-    words = F.size(F.filter(F.split("line", r"[^\p{L}\p{N}]+"), lambda w: w != "")) + F.floor(F.length(F.regexp_replace("line", r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]", "")) / 2)
+    hint = F.coalesce(F.col(partial_col), F.lit(False)) if partial_col in pages.columns else F.lit(False)
+    source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("text"), hint.alias("partial")).filter("id is not null")
+    screened = scratch.keep(source.select("id", "text").mapInArrow(_screen, "id long, kind string, line_no long, line string, rest long"), "screened")
+    own = screened.filter("kind != 'message'").groupBy("id").agg(F.max("kind").alias("reason"))
+
+    body = _body_lines(source)
+    lines = scratch.keep(body.select("id", F.xxhash64("site").alias("site_key"), "line_no", "h", _words(F.col("line"), F.col("form")).cast("int").alias("words")), "lines")
+    hot = scratch.keep(frequent_hashes(lines.filter("h is not null"), source, "id", "url", MIN_PAGES, MIN_SHARE_PERCENT).select("h"), "hot")
+    hot = limited(hot)
+    # words of a page's own; a page delivered again gives the same lines again
+    single = lines.join(hot, "h", "left_anti").groupBy("id", "line_no").agg(F.max("words").alias("words")).groupBy("id").agg(F.sum("words").alias("words"))
+    sites = source.groupBy("id").agg(F.max(site_of(F.col("url"))).alias("site"), F.max("partial").alias("partial"))
+    pages_ = sites.join(single, "id", "left").select("id", "site", "partial", F.coalesce("words", F.lit(0)).alias("words"))
+    found = screened.filter("kind = 'message'").dropDuplicates(["id", "line_no"])
+    counted = pages_.join(found.select("id", "line_no", "line", "rest"), "id", "left").withColumn("form", line_form(F.col("line")))
+    heads = F.col("line").rlike(r"(?U)^\s*#")
+    counted = counted.withColumn("h", F.when((F.length("form") >= 20) & ~heads, F.xxhash64("site", "form"))).join(hot.withColumn("excessive", F.lit(True)), "h", "left")
+    said = F.when(F.col("line").isNotNull() & F.col("excessive").isNull() & ~heads, _words(F.col("line"), F.col("form"))).otherwise(0)
+    by_page = counted.groupBy("id").agg(F.max("partial").alias("partial"), F.max("words").alias("words"), F.sum(said).alias("said"), F.sum(F.coalesce("rest", F.lit(0))).alias("rest"), F.count("line").alias("messages"))
+    by_page = scratch.keep(by_page.join(own, "id", "left_anti").withColumn("others", F.col("words") - F.col("said") + F.col("rest")), "by_page")
+    allowed = F.when(F.col("partial"), 2 * OTHER_WORDS).otherwise(OTHER_WORDS)
+    plain = by_page.filter((F.col("messages") > 0) & (F.col("others") <= allowed)).select("id")
+    # the other pages of little information are looked at line by line
+    doubtful = scratch.keep(by_page.filter((F.col("words") > 0) & (F.col("words") <= LITTLE_WORDS) & ((F.col("messages") == 0) | (F.col("others") > allowed))).select("id", "partial"), "doubtful")
+    near = source.drop("partial").join(limited(doubtful), "id")
+    title = F.array_join(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?U)^\s*#")), " ")
     # an answer by a server names the address it is about, and says something around it
-    marks = F.split(skeleton(F.col("line")), " ")
-    plain = F.when(F.array_contains(marks, SLUG), F.size(F.filter(marks, lambda w: ~w.isin(SLUG, NAME, "0")))).otherwise(0)
+    terms = F.filter(F.split(F.lower("line"), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
+    heading = F.split(F.concat_ws(" ", F.lower(title), F.regexp_replace(F.lower("url"), r"^[^:]*://[^/]*", "")), r"[^\p{L}]+")
+    masked = _body_lines(near).join(near.select("id", "partial", heading.alias("heading")).dropDuplicates(["id"]), "id")
+    masked = masked.withColumn("skeleton", skeleton(F.col("line"))).withColumn("words", _words(F.col("line"), F.col("form")))
+    marks = F.split("skeleton", " ")
+    around = F.when(F.array_contains(marks, SLUG), F.size(F.filter(marks, lambda w: ~w.isin(SLUG, NAME, "0")))).otherwise(0)
+    low = (F.col("words") <= LINE_WORDS) & (around >= PLAIN_WORDS) & ~F.arrays_overlap(terms, "heading")
+    masked = masked.select("id", "site", "partial", "line_no", "h", "words", F.xxhash64("skeleton").alias("sk"), F.xxhash64("form").alias("form"), low.alias("low"))
+    told = found.select("id", "line_no", "rest").join(limited(doubtful).select("id"), "id", "left_semi")
+    marked = scratch.keep(masked.dropDuplicates(["id", "line_no"]).join(told, ["id", "line_no"], "left").join(hot.withColumn("excessive", F.lit(True)), "h", "left"), "marked")
+    # a message stays a message on however many pages a host shows it; any other line that it repeats is none of the page's own
+    chrome = marked.filter("excessive and rest is null").select("sk").distinct()
+    asked = scratch.keep(marked.filter("excessive is null and rest is null and h is not null").select("h").distinct(), "asked")
+    again = lines.join(limited(asked), "h", "left_semi").select("h", "id").distinct().groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= AGAIN).select("h", F.lit(True).alias("again"))
+    owned = marked.filter("excessive is null or rest is not null").join(limited(scratch.keep(chrome, "chrome")), "sk", "left_anti").join(limited(scratch.keep(again, "again")), "h", "left")
+    rest = scratch.keep(owned.filter("again is null or rest is not null").drop("again"), "rest")
+    scratch.drop("lines")
     # a copied paragraph is the same text on several hosts; a response has the same skeleton around different names
-    forms = rest.filter(~F.col("response") & (words <= LINE_WORDS) & (plain >= PLAIN_WORDS)).select("sk", "site", F.xxhash64(line_form(F.col("line"))).alias("form")).distinct()
-    hosts = forms.select("sk", "site").distinct().groupBy("sk").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= HOSTS)
+    forms = rest.filter("low and rest is null").select("sk", "site", "form").distinct()
     texts = forms.select("sk", "form").distinct().groupBy("sk").agg(F.count("*").alias("texts")).filter(F.col("texts") >= HOSTS)
+    hosts = forms.select("sk", "site").distinct().groupBy("sk").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= HOSTS)
     spread = hosts.join(texts, "sk").select("sk", F.lit(True).alias("spread"))
-    terms = F.filter(F.split(F.lower("line"), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
-    heading = F.split(F.concat_ws(" ", F.lower("title"), F.regexp_replace(F.lower("url"), r"^[^:]*://[^/]*", "")), r"[^\p{L}]+")
-    judged = rest.join(spread, "sk", "left").withColumn("hit", F.col("response") | (F.coalesce("spread", F.lit(False)) & (words <= LINE_WORDS) & ~F.arrays_overlap(terms, heading)))
-    by_page = judged.groupBy("id").agg(F.max("hit").alias("hit"), F.sum(F.when(F.col("hit"), 0).otherwise(words)).alias("others"))
-    responses = by_page.filter(F.col("hit") & (F.col("others") <= OTHER_WORDS)).select("id", F.lit("response").alias("reason"))
+    hit = F.col("rest").isNotNull() | (F.coalesce("spread", F.lit(False)) & F.col("low"))
+    judged = rest.join(spread, "sk", "left").withColumn("hit", hit)
+    # a heading that is a message isn't among the body's lines
+    headed = found.filter(F.col("line").rlike(r"(?U)^\s*#")).select("id").distinct().withColumn("headed", F.lit(True))
+    sums = judged.groupBy("id").agg(F.max("hit").alias("hit"), F.max("partial").alias("partial"), F.sum(F.when(F.col("hit"), F.coalesce("rest", F.lit(0))).otherwise(F.col("words"))).alias("others"))
+    more = sums.join(headed, "id", "left").filter((F.col("hit") | F.coalesce("headed", F.lit(False))) & (F.col("others") <= allowed)).select("id")
+    responses = plain.unionByName(more).select("id", F.lit("response").alias("reason"))
     return own.unionByName(responses).groupBy("id").agg(F.max("reason").alias("reason")).select(F.col("id").alias(id_col), "reason")
 
 

@@ -16,6 +16,10 @@ def _pages(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "cached_page", "page_id", "url", "markdown")
 
 
+def _hinted_pages(spark: SparkSession, root: str) -> DataFrame:
+    return read_table(spark, root, "cached_page", "page_id", "url", "markdown", "spa_partial")
+
+
 def _documents(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "documents", "doc_id", "text")
 
@@ -38,11 +42,11 @@ def p1_clean(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return p2_residue.residue_pages(_pages(spark, root)).select("page_id")
+    return p2_residue.residue_pages(_hinted_pages(spark, root)).select("page_id")
 
 
 def p2_clean(spark: SparkSession, root: str) -> DataFrame:
-    pages = _pages(spark, root)
+    pages = _hinted_pages(spark, root)
     return p2_residue.without_residue(pages, p2_residue.residue_pages(pages)).select("page_id", "markdown")
 
 
