@@ -9,6 +9,9 @@ windows hold equal units wherever they stand. Digests are grouped globally in th
 round before has left: units; the stretches that parts of a shared unit's windows cover; single windows, but for the parts
 whose stretch is the same wherever the unit stands, which are thereby settled. Groups are reduced to their least and greatest document with partial counts a task, so a unit that stands in
 a third of all documents makes no large group, and no pairs of documents are made.
+
+Stretches and windows are held to be equal if they agree in 96 bits of two hashes: among 10^14 windows less than one pair
+agrees by chance. Units only choose where to look, so 64 bits do for them.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ BLOCK = 1 << 20
 #: Windows of a unit that are settled together.
 PART = 32
 _BASE = 0x9E3779B97F4A7C15
+_SECOND_BASE = 0xC2B2AE3D27D4EB4F
 _TOP = np.iinfo(np.uint64).max
 
 
@@ -40,10 +44,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Block:
     """Some texts, or a piece of one, after one another, with hashes of all their substrings.
 
-    The hash of a substring is a polynomial of its mixed characters modulo 2**64, got from prefix sums.
+    The hash of a substring is a polynomial of its mixed characters modulo 2**64, got from prefix sums; `check` is half of
+    a second one, of other characters and base, so that what is held to be equal agrees in 96 bits.
     """
 
-    _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+    _powers: tuple[np.ndarray, ...] = (np.ones(1, np.uint64),) * 4
 
     def __init__(self, docs: list[int], pieces: list[str], offsets: list[int]) -> None:
         self.docs, self.offsets = np.array(docs, np.int64), np.array(offsets, np.int64)
@@ -55,16 +60,25 @@ class Block:
         self.ends = (self.starts + lengths)[self.owner] if n else np.empty(0, np.int64)
         if len(Block._powers[0]) <= n:
             top = max(n + 1, BLOCK + 1)
-            forth, back = np.full(top, _BASE, np.uint64), np.full(top, pow(_BASE, -1, 1 << 64), np.uint64)
-            forth[0] = back[0] = 1
-            Block._powers = np.multiply.accumulate(forth), np.multiply.accumulate(back)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_mixed(self.text.astype(np.uint64) + np.uint64(1)) * Block._powers[0][:n], out=self.sums[1:])
+            powers = []
+            for base in (_BASE, pow(_BASE, -1, 1 << 64), _SECOND_BASE, pow(_SECOND_BASE, -1, 1 << 64)):
+                power = np.full(top, base, np.uint64)
+                power[0] = 1
+                powers.append(np.multiply.accumulate(power))
+            Block._powers = tuple(powers)
+        self.sums, self.second = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        letters = _mixed(self.text.astype(np.uint64) + np.uint64(1))
+        np.cumsum(letters * Block._powers[0][:n], out=self.sums[1:])
+        np.cumsum(_mixed(letters + np.uint64(1)) * Block._powers[2][:n], out=self.second[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Of each substring; its length is part of the hash."""
         return _mixed((self.sums[ends] - self.sums[starts]) * Block._powers[1][starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def checks(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The upper half of each substring's second hash."""
+        return (_mixed((self.second[ends] - self.second[starts]) * Block._powers[3][starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of n characters at each place, and whether the run lies within one text."""
         at = np.arange(max(0, self.size - n + 1))
@@ -184,7 +198,8 @@ def _stretch_rows(span: int, unit: int):
                 at, times = at[row], times[row]
                 doc, begin = block.place(first)
                 digest = _mixed(block.hashes(first, last + span) + (at - first).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([_long(doc), _long(digest), _long(begin), _long(begin + (last - first)), _long(times)], ["doc", "digest", "first", "last", "times"])
+                check = pa.array(block.checks(first, last + span))
+                yield pa.RecordBatch.from_arrays([_long(doc), _long(digest), check, _long(begin), _long(begin + (last - first)), _long(times)], ["doc", "digest", "check", "first", "last", "times"])
 
     return run
 
@@ -205,14 +220,15 @@ def _window_rows(span: int, unit: int):
                 first, sizes = first[open_], (last - first + 1)[open_]
                 place = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 doc, begin = block.place(place)
-                yield pa.RecordBatch.from_arrays([_long(doc), _long(block.hashes(place, place + span)), _long(begin)], ["doc", "digest", "first"])
+                check = pa.array(block.checks(place, place + span))
+                yield pa.RecordBatch.from_arrays([_long(doc), _long(block.hashes(place, place + span)), check, _long(begin)], ["doc", "digest", "check", "first"])
 
     return run
 
 
-def _in_several(rows: DataFrame, *counts) -> DataFrame:
+def _in_several(rows: DataFrame, *counts, by: tuple[str, ...] = ("digest", "check")) -> DataFrame:
     """Digests that stand in two documents or more, with further aggregates."""
-    return rows.groupBy("digest").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), *counts).filter("a < b").drop("a", "b")
+    return rows.groupBy(*by).agg(F.min("doc").alias("a"), F.max("doc").alias("b"), *counts).filter("a < b").drop("a", "b")
 
 
 def shared_spans(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", span: int = SPAN, unit: int = UNIT) -> DataFrame:
@@ -225,15 +241,15 @@ def shared_spans(documents: DataFrame, doc_col: str = "doc_id", text_col: str =
     texts = documents.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter((F.length("text") >= span) & F.col("doc").isNotNull())
     scratch = Scratch(documents.sparkSession, "p9")
     units = scratch.keep(texts.mapInArrow(_unit_rows(span, unit), "doc long, digest long, times long"), "units")
-    listed = units.select("doc", "digest").join(_in_several(units, F.sum("times").alias("n")), "digest").groupBy("doc").agg(F.collect_list(F.struct("digest", "n")).alias("u"))
+    listed = units.select("doc", "digest").join(_in_several(units, F.sum("times").alias("n"), by=("digest",)), "digest").groupBy("doc").agg(F.collect_list(F.struct("digest", "n")).alias("u"))
     near = scratch.keep(texts.join(listed, "doc").select("doc", "text", F.col("u.digest").alias("units"), F.col("u.n").alias("times")), "near")
     scratch.drop("units")
-    stretches = scratch.keep(near.mapInArrow(_stretch_rows(span, unit), "doc long, digest long, first long, last long, times long"), "stretches")
-    common = scratch.keep(stretches.join(_in_several(stretches, F.count("*").alias("n")), "digest").select("doc", "first", "last", (F.col("n") == F.col("times")).alias("settled")), "common")
+    stretches = scratch.keep(near.mapInArrow(_stretch_rows(span, unit), "doc long, digest long, check int, first long, last long, times long"), "stretches")
+    common = scratch.keep(stretches.join(_in_several(stretches, F.count("*").alias("n")), ["digest", "check"]).select("doc", "first", "last", (F.col("n") == F.col("times")).alias("settled")), "common")
     settled = common.filter("settled").groupBy("doc").agg(F.collect_set("first").alias("begins"))
-    windows = scratch.keep(near.join(settled, "doc", "left").select("doc", "text", "units", "times", "begins").mapInArrow(_window_rows(span, unit), "doc long, digest long, first long"), "windows")
+    windows = scratch.keep(near.join(settled, "doc", "left").select("doc", "text", "units", "times", "begins").mapInArrow(_window_rows(span, unit), "doc long, digest long, check int, first long"), "windows")
     scratch.drop("near", "stretches")
-    single = windows.join(_in_several(windows), "digest", "left_semi").select("doc", "first", F.col("first").alias("last"))
+    single = windows.join(_in_several(windows), ["digest", "check"], "left_semi").select("doc", "first", F.col("first").alias("last"))
     return _joined_runs(common.select("doc", "first", "last").unionByName(single), span).select(F.col("doc").alias(doc_col), "span_start", "span_end")
 
 
