@@ -83,15 +83,16 @@ LEADING = ["script", "find", "exist", "available", "open", "lost", "deny", "enti
 _CODE = re.compile(r"(?<![\d.,])[45]\d\d(?![\d%]|[.,]\d)")
 # Forms that tell a message by themselves: a status line, a trace of a program, a page that only loads.
 FORMS = [
-    r"^\W*[45]\d\d\s*[—–:-]\s+\w",
     r"\bcannot (?:get|post) /",
     r"^\W*noscript\b",
     r"^\W*(?:loading|wird geladen|chargement|cargando|caricamento|carregando|laden|ładowanie|загрузка|завантаження|yükleniyor|laddar|indlæser|načítání|加载中|載入中|読み込み中|로딩)\b.{0,80}(?:…|\.\.\.)\W*$",
     r"^\W*traceback\b|^\s*file .{1,120}, line \d+|^\W*\w*(?:error|exception)\s*:\s|\b(?:fatal|parse|syntax|runtime) error\b|\bon line \d+\s*$|\bstack trace\b|\bcore dumped\b|\bundefined (?:index|variable|offset)\b",
 ]
+STATUS_LINE = r"^[^\w\n]*[45]\d\d[ \t]*[—–:-][ \t]+\w"
 _FORMS = [re.compile(f, re.I) for f in FORMS]
+_STATUS = re.compile(STATUS_LINE, re.M)
 #: Of each form strings of which a match holds one, in lower case; a line without them needn't be searched.
-_FORM_HINTS = ["4", "5", "cannot ", "noscript", "…", "...", "traceback", ", line ", "error", "exception", "on line ", "stack trace", "core dumped", "undefined "]
+_FORM_HINTS = ["cannot ", "noscript", "…", "...", "traceback", ", line ", "error", "exception", "on line ", "stack trace", "core dumped", "undefined "]
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n")
 _BIT = {name: 1 << k for k, name in enumerate([*TERMS, "code"])}
 _RULES, _MORE_RULES = ([[sum(_BIT[c] for c in part.split("|")) for part in rule.split()] for rule in rules] for rules in (MESSAGES, FOLLOWING))
@@ -127,6 +128,7 @@ class MessageFinder:
     def __init__(self) -> None:
         self.leading = _automaton(LEADING, _FORM_HINTS)
         self.all = _automaton(list(TERMS))
+        self._told: dict[int, tuple[bool, bool]] = {}  # what sets of meanings make
 
     def _bits(self, low: str) -> int:
         found, n = 0, len(low)
@@ -134,15 +136,19 @@ class MessageFinder:
             start = end - length
             if (before or start < 0 or not low[start].isalnum()) and (after or end + 1 >= n or not low[end + 1].isalnum()):
                 found |= bits
-        return found | _BIT["code"] if _CODE.search(low) else found
+        return found | _BIT["code"] if ("4" in low or "5" in low) and _CODE.search(low) else found
 
     def is_message(self, sentence: str, following: bool = False) -> bool:
         bits = self._bits(sentence.lower())
-        return any(all(bits & part for part in rule) for rule in _RULES) or following and any(all(bits & part for part in rule) for rule in _MORE_RULES)
+        told = self._told.get(bits)
+        if told is None:
+            told = self._told[bits] = tuple(any(all(bits & part for part in rule) for rule in rules) for rules in (_RULES, _MORE_RULES))
+        return told[0] or following and told[1]
 
     def sentences(self, line: str, following: bool = False) -> tuple[bool, list[str], list[str]]:
         """Whether the line holds a message, and its sentences that hold none: those before the first message, and those after."""
-        if any(f.search(line) for f in _FORMS):
+        low = line.lower()
+        if any(h in low for h in _FORM_HINTS) and any(f.search(line) for f in _FORMS) or _STATUS.match(line):
             return True, [], []
         before, after, hit = [], [], False
         for sentence in _SENTENCE.split(line):
@@ -157,13 +163,15 @@ class MessageFinder:
         low = text.lower()
         if len(low) != len(text):  # a letter whose lower case is longer would shift all places
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+        # where a term or a status line stands
+        places = [end for end, (length, _, before, after) in self.leading.iter(low) if (before or end < length or not low[end - length].isalnum()) and (after or end + 1 >= len(low) or not low[end + 1].isalnum())]
+        status = [m.end() - 1 for m in _STATUS.finditer(low)]
+        if status:
+            places = sorted(places + status)
         at, line_no, begin, following = -1, 0, 0, False
-        for end, (length, _, before, after) in self.leading.iter(low):
+        for end in places:
             if end <= at:
                 continue
-            start = end - length
-            if not (before or start < 0 or not low[start].isalnum()) or not (after or end + 1 >= len(low) or not low[end + 1].isalnum()):
-                continue
             begin_of = low.rfind("\n", 0, end) + 1
             line_no += low.count("\n", begin, begin_of)
             begin = begin_of

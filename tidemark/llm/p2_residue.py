@@ -16,6 +16,7 @@ Null and empty texts are no cases. Rows with one id count once.
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ OTHER_WORDS = 10
 EXPLANATION_WORDS = 30
 #: Words without what its host repeats, up to which a page has so little information that its likeness to other hosts' pages counts: a
 #: duplicated skeleton can make it a response, and lines like those that other hosts repeat are none of its own.
-LITTLE_WORDS = 250
+LITTLE_WORDS = 150
 #: Pages of its host on which a line of such a page must stand to be none of its own, where the host is too small for it to be excessive.
 AGAIN = 3
 #: Hosts on which a skeleton must stand to count as a duplicated response.
@@ -111,7 +112,8 @@ def has_filler(prose: str) -> bool:
     low = prose.lower()
     if ("dolor" in low or "ipsum" in low or "lorem" in low or "eiusmod" in low) and any(_is_filler(p) for p in (*re.split(r"\n\s*\n", low), *low.split("\n"))):
         return True
-    if _SAME_WORD.search(f" {' '.join(low.split())}") or (_KANA.search(low) and _SAME_KANA.search(low)):
+    words = low.split()
+    if (any(map(operator.eq, words, words[1:])) and _SAME_WORD.search(f" {' '.join(words)}")) or (_KANA.search(low) and _SAME_KANA.search(low)):
         return True
     return any(pattern.search(prose) for held, pattern in _FILLERS if any(h in low for h in held))
 
