@@ -49,8 +49,8 @@ def test_first_after(spark):
 
 def test_percentiles(spark):
     df = spark.createDataFrame([("g", x) for x in (4, 1, 3, 2)] + [("n", None)], "g string, x long")
-    got = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(demand.floor_percentile("x", 50).alias("a"), demand.floor_percentile("x", 90).alias("b")).collect()}
-    assert got == {"g": (3, 4), "n": (None, None)}
+    got = {r.g: (r.a, r.b) for r in demand.ranked_percentiles(df, ["g"], "x", [50, 90]).withColumnsRenamed({"p50": "a", "p90": "b"}).collect()}
+    assert got == {"g": (3, 4)}
     found = spark.createDataFrame([("g", 0, 4), ("g", 0, 1), ("g", 0, 3), ("g", 0, 2), ("g", 0, None), ("n", 0, None)], "g string, start_at long, first_at long")
     rows = {r.g: (r.starts, r.followed, r.p50_ms, r.p90_ms, r.share) for r in demand.lead_times(found, "g").collect()}
     assert rows == {"g": (5, 4, 3, 4, 0.8), "n": (1, 0, None, None, 0.0)}

@@ -30,3 +30,60 @@ def notes_block(lines: Column) -> Column:
 
 def changes_line(changes: Column, latest: Column) -> Column:
     return F.when(changes > 0, F.concat(F.lit("content changed "), changes.cast("string"), F.lit(" time(s), latest "), latest))
+
+
+def delta_header(changed: Column, total: Column, unchanged: Column, known_hash: Column) -> Column:
+    """`_[delta · 2 of 5 sections changed since H · 3 unchanged]_`."""
+    return F.concat(F.lit("_[delta · "), changed.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" sections changed since "), known_hash, F.lit(" · "), unchanged.cast("string"), F.lit(" unchanged]_"))
+
+
+def dated_note_line(kind: Column, text: Column, votes: Column, note_id: Column, at_ms: Column) -> Column:
+    day = F.date_format(F.timestamp_millis(at_ms), "yyyy-MM-dd")
+    return F.concat(F.lit("· ["), kind, F.lit("] "), text, F.lit(" _("), votes.cast("string"), F.lit(" votes, id "), note_id.cast("string"), F.lit(", "), day, F.lit(")_"))
+
+
+def changes_report(lines: Column, changes: Column, latest: Column) -> Column:
+    """Note lines, or that there are none, and the line of observed changes; null where nothing is known."""
+    observed = changes_line(changes, latest)
+    notes = F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.lit("· (no notes, only an observed change)"))
+    return F.when((F.size(lines) > 0) | observed.isNotNull(), F.concat_ws("\n· ", notes, observed))
+
+
+def ambient_block(label: Column, report: Column) -> Column:
+    """The report under a heading, to stand before a page; empty without one."""
+    return F.coalesce(F.concat(F.lit("**Changed since "), label, F.lit("**\n"), report, F.lit("\n\n---\n\n")), F.lit(""))
+
+
+def recall_text(target: Column, lines: Column) -> Column:
+    return F.when(F.size(lines) > 0, F.concat(F.lit('Notes on "'), target, F.lit('" (untrusted):\n'), F.array_join(lines, "\n"))).otherwise(F.concat(F.lit('No notes yet on "'), target, F.lit('".')))
+
+
+def recall_line(kind: Column, text: Column, votes: Column, note_id: Column) -> Column:
+    return F.concat(F.lit("- ["), kind, F.lit("] "), text, F.lit("  ("), votes.cast("string"), F.lit(" votes, id "), note_id.cast("string"), F.lit(")"))
+
+
+def vote_ack(note_id: Column, votes: Column) -> Column:
+    return F.concat(F.lit("Note "), note_id.cast("string"), F.lit(" now has "), votes.cast("string"), F.lit(" votes."))
+
+
+def flag_ack(note_id: Column, flags: Column) -> Column:
+    return F.concat(F.lit("Flagged note "), note_id.cast("string"), F.lit(" ("), flags.cast("string"), F.when(flags == 1, F.lit(" flag).")).otherwise(F.lit(" flags).")))
+
+
+def saved_note_ack(note_id: Column, kind: Column, votes: Column) -> Column:
+    """A note that existed was upvoted instead of saved."""
+    again = F.concat(F.lit("That note exists; it now has "), votes.cast("string"), F.lit(" votes (note "), note_id.cast("string"), F.lit(")."))
+    return F.when(votes > 1, again).otherwise(F.concat(F.lit("Saved note "), note_id.cast("string"), F.lit(" ["), kind, F.lit("].")))
+
+
+def stats_lines(counters: dict[str, Column], top: Column) -> Column:
+    """A line a counter, with thousands marked, then the leading members."""
+    rows = [F.concat(F.lit(f"- {name}: "), F.format_number(c, 0)) for name, c in counters.items()]
+    leaders = F.transform(top, lambda x: F.concat(F.lit("    "), x["member"], F.lit(" ("), F.format_number(x["score"], 0), F.lit(")")))
+    return F.concat_ws("\n", *rows, F.when(F.size(top) > 0, F.concat(F.lit("- top domains:\n"), F.array_join(leaders, "\n"))))
+
+
+def reply(text: Column, error: Column) -> Column:
+    """JSON of a reply: one block of text, marked as an error where `error` isn't null."""
+    content = F.array(F.struct(F.lit("text").alias("type"), F.coalesce(error, text).alias("text"))).alias("content")
+    return F.when(error.isNull(), F.to_json(F.struct(content))).otherwise(F.to_json(F.struct(content, F.lit(True).alias("isError"))))

@@ -128,6 +128,13 @@ def window_hours(spec: str, default: int = 24) -> int:
     return int(number) * (24 if unit == "d" else 1) if unit in ("h", "d") and number.isascii() and number.isdigit() else default
 
 
+def spec_hours(spec: Column | str, default: int = 24) -> Column:
+    """window_hours of a column; the default for a null too."""
+    number = F.regexp_extract(_col(spec), "^([0-9]{1,6})[hd]$", 1)
+    hours = F.when(number != "", number.cast("int") * F.when(_col(spec).endswith("d"), 24).otherwise(1))
+    return F.coalesce(hours, F.lit(default)).cast("int")
+
+
 def lossy_utf8(data: Column | str) -> Column:
     """Text of bytes; what isn't UTF-8 becomes U+FFFD."""
     return F.make_valid_utf8(_col(data).cast("string"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.urls import Address, doc_set, with_address
+from tidemark.operators.store import top_members
+from tidemark.sources.scratch import Scratch
 
 HOUR_MS = 3_600_000
 # Package feeds of documentation sites whose name isn't the package's.
@@ -69,33 +71,61 @@ def first_after(starts: DataFrame, events: DataFrame, window_ms: int, *keys: str
     return own.join(following, [*keys, "_b"], "left").select(*keys, F.col("_t").alias("start_at"), F.when(found <= F.col("_t") + window_ms, found).alias("first_at"))
 
 
-def floor_percentile(values: Column | str, percent: int) -> Column:
-    """Aggregate: the value at place min(n - 1, floor(percent * n / 100)) of the sorted values; null for none.
+def hot_sets(asked: DataFrame, fallback: DataFrame, n: int = 100) -> DataFrame:
+    """(docset, n, source): the n sets asked for most; where nothing was asked for, the domains that saved most. n is the report's size.
 
-    As an exact percentile needs the values in one place, use it on reduced data; nulls don't count.
+    `asked` has (docset, n), `fallback` (domain, saved).
     """
-    c = F.col(values) if isinstance(values, str) else values
-    ordered = F.sort_array(F.collect_list(c))
-    n = F.size(ordered)
-    return F.get(ordered, F.least(n - 1, F.floor(n * percent / 100)).cast("int"))
+    top = top_members(asked, "docset", "n", n).withColumn("source", F.lit("demand"))
+    spare = top_members(fallback.select(F.col("domain").alias("docset"), F.col("saved").alias("n")), "docset", "n", n).withColumn("source", F.lit("domains"))
+    both = top.unionByName(spare).withColumn("_asked", F.max(F.col("source") == "demand").over(Window.partitionBy(F.lit(1))))  # 2 n rows at most
+    return both.filter((F.col("source") == "demand") | ~F.col("_asked")).drop("_asked")
 
 
-def lead_times(found: DataFrame, *keys: str) -> DataFrame:
-    """(keys, starts, followed, share, p50_ms, p90_ms) of the rows of first_after.
+def coverage(found: DataFrame, changed: DataFrame, *keys: str) -> DataFrame:
+    """One row: starts, followed by demand and by a change, the shares of both, keys, and keys with any start that demand follows.
 
-    Lead times are counted by value first, so the percentile looks at distinct values with running counts and no group is gathered.
+    `found` and `changed` are rows of first_after over the same starts.
     """
-    lead = found.withColumn("lead", F.col("first_at") - F.col("start_at"))
-    sums = lead.groupBy(*keys).agg(F.count("*").alias("starts"), F.count("lead").alias("followed"))
-    counted = lead.filter("lead is not null").groupBy(*keys, "lead").agg(F.count("*").alias("n"))
-    by = Window.partitionBy(*keys).orderBy("lead")
-    ranked = counted.withColumn("upto", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = ranked.join(sums.filter("followed > 0"), list(keys)) if keys else ranked.withColumn("_k", F.lit(1)).join(sums.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    by_key = found.groupBy(*keys).agg(F.count("*").alias("starts"), F.count("first_at").alias("followed"))
+    sums = by_key.agg(F.coalesce(F.sum("starts"), F.lit(0)).alias("starts"), F.coalesce(F.sum("followed"), F.lit(0)).alias("followed"), F.count("*").alias("keys"), F.count_if(F.col("followed") > 0).alias("keys_followed"))
+    one = sums.unionByName(changed.agg(F.count("first_at").alias("changed")), allowMissingColumns=True)
+    sums = one.agg(*(F.max(c).alias(c) for c in ("starts", "followed", "keys", "keys_followed", "changed")))
+    share = F.coalesce(F.try_divide("followed", "starts"), F.lit(0.0))
+    return sums.withColumn("precision", share).withColumn("change_share", F.coalesce(F.try_divide("changed", "starts"), F.lit(0.0)))
+
+
+def recent_starts(starts: DataFrame, now: int, days: int = 120) -> DataFrame:
+    """Starts that aren't older than the days that are looked at."""
+    return starts.filter(F.col("start_at") >= F.lit(now) - F.lit(days * 24 * HOUR_MS))
+
+
+def ranked_percentiles(values: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
+    """(keys, p<percent> ...): the value at place min(n - 1, floor(percent * n / 100)) of each key's sorted values; nulls don't count.
+
+    Values are counted, ranged by key and value and counted up within ranges; a range's counts before it come from the sums of
+    ranges, of which there are as many as tasks. So a key with a third of all values is spread over tasks, and none is gathered.
+    """
+    counted = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranged = Scratch(values.sparkSession, "percentiles").keep(counted.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "counts")
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_sum").over(Window.partitionBy(*keys)).alias("_all"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_part") == F.col("_p")]
+    within = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    upto = ranged.withColumn("_within", within).join(parts, same).withColumn("_upto", F.col("_within") + F.col("_before"))
 
     def at(percent: int) -> Column:
-        place = F.least(F.col("followed") - 1, F.floor(F.col("followed") * percent / 100))
-        return F.min(F.when(F.col("upto") > place, F.col("lead")))
+        return F.min(F.when(F.col("_upto") > F.least(F.col("_all") - 1, F.floor(F.col("_all") * percent / 100)), F.col(value))).alias(f"p{percent}")
+
+    return upto.groupBy(*keys).agg(*(at(p) for p in percents))
+
 
-    tops = joined.groupBy(*keys, "followed").agg(at(50).alias("p50_ms"), at(90).alias("p90_ms")).drop("followed")
-    out = sums.join(tops, list(keys), "left") if keys else sums.withColumn("_k", F.lit(1)).join(tops.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-    return out.withColumn("share", F.coalesce(F.try_divide("followed", "starts"), F.lit(0.0)))
+def lead_times(found: DataFrame, *keys: str) -> DataFrame:
+    """(keys, starts, followed, share, p50_ms, p90_ms) of the rows of first_after."""
+    lead = found.withColumn("lead", F.col("first_at") - F.col("start_at"))
+    if not keys:
+        return lead_times(found.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    sums = lead.groupBy(*keys).agg(F.count("*").alias("starts"), F.count("lead").alias("followed"))
+    tops = ranked_percentiles(lead, list(keys), "lead", [50, 90]).withColumnsRenamed({"p50": "p50_ms", "p90": "p90_ms"})
+    return sums.join(tops, list(keys), "left").withColumn("share", F.coalesce(F.try_divide("followed", "starts"), F.lit(0.0)))

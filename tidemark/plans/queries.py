@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import addresses, html, rendering, text, urls
 from tidemark.operators import answers, cutoffs, demand, notes, pages, replay, sections, stats, store, windows
@@ -16,8 +16,8 @@ from tidemark.operators.order import with_previous
 from tidemark.operators.snapshots import snapshot_changes
 from tidemark.plans import sql as S
 from tidemark.sources.feeds import release_times
-from tidemark.sources.scratch import Scratch
-from tidemark.sources.tables import read_table
+from tidemark.sources.scratch import Scratch, small_side
+from tidemark.sources.tables import read_once, read_table
 from tidemark.streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,9 @@ def query(check: str | None = None):
 
 
 def _saves(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """Saves, once each; texts aren't moved to tell which were delivered twice."""
+    if "markdown" in columns:
+        return read_once(spark, root, "cached_page", "page_id", *columns)
     return read_table(spark, root, "cached_page", "page_id", *columns).dropDuplicates(["page_id"])
 
 
@@ -200,10 +203,13 @@ def html_pretrim(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def html_distill(spark: SparkSession, root: str) -> DataFrame:
     """Distills each distinct body once, joins it back, and counts what was saved."""
-    rows = _saves(spark, root, "markdown").filter("markdown is not null").select("page_id", _as_html(F.col("markdown")).alias("html")).withColumn("h", F.sha2("html", 256))
-    once = rows.dropDuplicates(["h"]).select("h", html.distill_html("html").alias("markdown"), text.estimate_tokens("html").alias("original"))
+    rows = _saves(spark, root, "markdown").filter("markdown is not null")
+    keys = Scratch(spark, "distill").keep(rows.select("page_id", text.body_hash("markdown").alias("h")), "keys")
+    first = keys.groupBy("h").agg(F.min("page_id").alias("page_id"))
+    page = _as_html(F.col("markdown"))
+    once = rows.join(small_side(first), "page_id").select("h", html.distill_html(page).alias("distilled_text"), text.estimate_tokens(page).alias("original"))
     made = Scratch(spark, "distill").keep(once, "distilled")
-    return rows.select("page_id", "h").join(made, "h").select("page_id", "markdown", "original", text.estimate_tokens("markdown").alias("distilled"))
+    return keys.join(made, "h").select("page_id", F.col("distilled_text").alias("markdown"), "original", text.estimate_tokens("distilled_text").alias("distilled"))
 
 
 @query(rf"select page_id, {S.trim(r'''regexp_replace(regexp_replace(regexp_replace(markdown, '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?:\[\]\([^)]*\)\s*)+', '', 'g')''')} as tidy from (select distinct page_id, markdown from cached_page)")
@@ -286,15 +292,17 @@ _CHAIN = f"""saves as (select page_id, hash, created_at, markdown, lag(page_id)
 
 
 def _chain(spark: SparkSession, root: str) -> DataFrame:
-    rows = _saves(spark, root, "url", "created_at", "markdown").withColumn("url_hash", urls.url_hash("url"))
-    return with_previous(rows.select("page_id", "url_hash", "created_at", "markdown"), "url_hash", ["created_at", "page_id"], "page_id", "prior")
+    """(page_id, prior): each save and the save of the same address before it."""
+    rows = _saves(spark, root, "url", "created_at").withColumn("url_hash", urls.url_hash("url"))
+    return with_previous(rows.select("page_id", "url_hash", "created_at"), "url_hash", ["created_at", "page_id"], "page_id", "prior").select("page_id", "prior")
 
 
 def _diff(spark: SparkSession, root: str) -> DataFrame:
-    """Sections of each save against those of the save of the same address before it."""
-    chain = Scratch(spark, "diff").keep(_chain(spark, root).select("page_id", "prior", "markdown"), "chain")
-    after = sections.split_sections(chain.filter("prior is not null"), "page_id")
-    before = sections.split_sections(chain.filter("prior is not null").select("page_id", "prior").join(chain.select(F.col("page_id").alias("prior"), "markdown"), "prior"), "page_id")
+    """Sections of each save against those of the save of the same address before it; the order is told from narrow rows, texts come last."""
+    chain = Scratch(spark, "diff").keep(_chain(spark, root).filter("prior is not null"), "chain")
+    texts = _saves(spark, root, "markdown")
+    after = sections.split_sections(texts.join(small_side(chain.select("page_id")), "page_id", "left_semi"), "page_id")
+    before = sections.split_sections(texts.withColumnRenamed("page_id", "prior").join(small_side(chain), "prior"), "page_id")
     return sections.diff_indexes(before, after, "page_id")
 
 
@@ -550,12 +558,8 @@ def lead_summary(spark: SparkSession, root: str) -> DataFrame:
 
 @query("select event_type, list_sort(list(value))[least(count(*), floor(90 * count(*) / 100)::bigint + 1)] as p90 from events where value is not null group by event_type")
 def value_percentiles(spark: SparkSession, root: str) -> DataFrame:
-    """The 90th percentile by type, from distinct values with running counts."""
-    counted = read_table(spark, root, "events", "event_type", "value").filter("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("event_type")
-    ranked = counted.withColumn("upto", F.sum("n").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by))
-    place = F.least(F.col("all") - 1, F.floor(F.col("all") * 90 / 100))
-    return ranked.groupBy("event_type").agg(F.min(F.when(F.col("upto") > place, F.col("value"))).alias("p90"))
+    """The 90th percentile by type."""
+    return demand.ranked_percentiles(read_table(spark, root, "events", "event_type", "value"), ["event_type"], "value", [90])
 
 
 @query("select distinct url from demand_event where url is not null order by url limit 25")
@@ -711,15 +715,6 @@ def fetch_answers(spark: SparkSession, root: str) -> DataFrame:
     return answers.fetch_view(*_requests(spark, root))
 
 
-@query()
-def note_blocks(spark: SparkSession, root: str) -> DataFrame:
-    """The three best notes of each target as a labelled block."""
-    best = notes.recalled(notes.ranked_notes(_notes(spark, root), _reactions(spark, root), NOW), 3)
-    line = rendering.note_line(F.col("kind"), F.col("text"), F.col("votes"), F.col("note_id"), F.lit(False))
-    rows = best.groupBy("target_key").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
-    return rows.select("target_key", rendering.notes_block(F.transform("l", lambda x: x["line"])).alias("block"))
-
-
 # ---- streams
 
 
@@ -741,3 +736,6 @@ def stream_totals(spark: SparkSession, root: str) -> DataFrame:
     run = totals.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch.path("state")).trigger(availableNow=True).start()
     run.awaitTermination()
     return out.get("df", spark.createDataFrame([], totals.schema))
+
+
+from tidemark.plans import replies  # noqa: E402, F401  (registers its queries)

@@ -11,9 +11,17 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: Rows of a few narrow columns that may be broadcast: with some 100 bytes a row in a hash relation, these are about 20 MB.
+BROADCAST_ROWS = 200_000
+_local_roots: dict[str, str] = {}
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """Narrow rows for one side of a join, to be broadcast if they were counted and found within the bound; beyond, the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,9 +32,10 @@ def shared_root(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError(f"set {SETTING} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set(SETTING, root)
-    return root
+    session = spark.sparkContext.applicationId
+    if session not in _local_roots:
+        _local_roots[session] = tempfile.mkdtemp(prefix="tidemark-")
+    return _local_roots[session]
 
 
 class Scratch:
@@ -38,7 +47,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self._spark = spark
         self._root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(self._close)
+        atexit.register(self.close)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self._root}/{name}"
@@ -61,7 +70,9 @@ class Scratch:
         path = self._spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def _close(self) -> None:
+    def close(self) -> None:
+        """Drops all tables of the run, once its result has been consumed; otherwise they go with the process."""
+        atexit.unregister(self.close)
         try:
             if self._spark.sparkContext._jsc is not None:
                 self._delete(self._root)
