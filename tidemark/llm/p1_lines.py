@@ -38,11 +38,25 @@ def line_form(line: Column) -> Column:
     return F.trim(F.regexp_replace(digits, r"[^\p{L}\p{N}]+", " "))
 
 
+def exploded_lines(pages: DataFrame, text_col: str, *columns: Column | str) -> DataFrame:
+    """(columns, line_no, line, form) of the lines that aren't headings and have a letter or digit.
+
+    Forms are made before the lines are exploded: afterwards each is a value, where a column would be worked out anew for every filter and use.
+    """
+
+    def made(line: Column) -> Column:
+        heading = F.contains(line, F.lit("#")) & line.rlike(r"(?U)^\s*#")
+        return F.struct(line.alias("line"), F.when(~heading, line_form(line)).otherwise("").alias("form"))
+
+    at = pages.select(*columns, F.posexplode(F.transform(F.split(F.col(text_col), "\n"), made)).alias("line_no", "_x"))
+    kept = [c for c in at.columns if c not in ("line_no", "_x")]
+    return at.filter("_x.form != ''").select(*kept, F.col("line_no").cast("long").alias("line_no"), "_x.line", "_x.form")
+
+
 def hashed_lines(pages: DataFrame, id_col: str = "page_id", text_col: str = "markdown", url_col: str = "url") -> DataFrame:
-    """(id, line_no, site_key, h, size) of each line that counts; h is the hash of site and form, size the line's characters."""
-    at = pages.select(F.col(id_col).alias("id"), site_of(F.col(url_col)).alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    at = at.filter(~F.col("line").rlike(r"(?U)^\s*#") & (2 * F.length("line") >= MIN_FORM)).withColumn("form", line_form(F.col("line")))
-    return at.filter(F.length("form") >= MIN_FORM).select("id", F.col("line_no").cast("long").alias("line_no"), F.xxhash64("site").alias("site_key"), F.xxhash64("site", "form").alias("h"), F.length("line").alias("size"))
+    """(id, line_no, site_key, h) of each line that counts; h is the hash of site and form."""
+    at = exploded_lines(pages, text_col, F.col(id_col).alias("id"), site_of(F.col(url_col)).alias("site"))
+    return at.filter(F.length("form") >= MIN_FORM).select("id", "line_no", F.xxhash64("site").alias("site_key"), F.xxhash64("site", "form").alias("h"))
 
 
 def frequent_hashes(lines: DataFrame, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", min_pages: int = MIN_PAGES, share_percent: float = MIN_SHARE_PERCENT) -> DataFrame:
@@ -59,7 +73,7 @@ def frequent_hashes(lines: DataFrame, pages: DataFrame, id_col: str = "page_id",
 def frequent_lines(pages: DataFrame, id_col: str = "page_id", text_col: str = "markdown", url_col: str = "url", min_pages: int = MIN_PAGES, share_percent: float = MIN_SHARE_PERCENT) -> DataFrame:
     """(id_col, line_no) of every appearance of a line that its site repeats excessively."""
     scratch = Scratch(pages.sparkSession, "p1")
-    lines = scratch.keep(hashed_lines(pages, id_col, text_col, url_col).drop("size"), "lines")
+    lines = scratch.keep(hashed_lines(pages, id_col, text_col, url_col), "lines")
     hot = scratch.keep(frequent_hashes(lines, pages, id_col, url_col, min_pages, share_percent).select("h"), "frequent")
     return lines.join(limited(hot), "h", "left_semi").select(F.col("id").alias(id_col), "line_no").distinct()
 

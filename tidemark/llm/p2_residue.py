@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.message_terms import MessageFinder
-from tidemark.llm.p1_lines import MIN_PAGES, MIN_SHARE_PERCENT, frequent_hashes, limited, line_form, site_of
+from tidemark.llm.p1_lines import MIN_FORM, MIN_PAGES, MIN_SHARE_PERCENT, exploded_lines, frequent_hashes, limited, line_form, site_of
 from tidemark.sources.scratch import Scratch
 
 #: Words besides response lines that a response may have; twice as many if the page was taken for an unrendered one.
@@ -172,15 +172,14 @@ def skeleton(line):
 def _words(line: Column, form: Column) -> Column:
     """word_count in Catalyst."""
     dense = F.floor(F.length(F.regexp_replace(line, r"[^\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{0e00}-\x{0e7f}]", "")) / 2)
-    return F.when(form == "", 0).otherwise(F.size(F.split(form, " "))) + F.when(F.octet_length(line) > F.length(line), dense).otherwise(0)
+    runs = F.length(form) - F.length(F.replace(form, F.lit(" "), F.lit(""))) + 1
+    return F.when(form == "", 0).otherwise(runs) + F.when(F.octet_length(line) > F.length(line), dense).otherwise(0)
 
 
 def _body_lines(source: DataFrame) -> DataFrame:
     """(id, site, line_no, line, form, h) of the lines that aren't headings and have a letter or digit; h is null for forms too short to count as repeated."""
-    at = source.select("id", site_of(F.col("url")).alias("site"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    at = at.filter(~F.col("line").rlike(r"(?U)^\s*(?:#|$)")).withColumn("form", line_form(F.col("line"))).filter("form != ''")
-    h = F.when(F.length("form") >= 20, F.xxhash64("site", "form"))
-    return at.select("id", "site", F.col("line_no").cast("long").alias("line_no"), "line", "form", h.alias("h"))
+    at = exploded_lines(source, "text", "id", site_of(F.col("url")).alias("site"))
+    return at.withColumn("h", F.when(F.length("form") >= MIN_FORM, F.xxhash64("site", "form")))
 
 
 def residue_pages(pages: DataFrame, id_col: str = "page_id", text_col: str = "markdown", url_col: str = "url", partial_col: str | None = "spa_partial") -> DataFrame:
@@ -205,7 +204,7 @@ def residue_pages(pages: DataFrame, id_col: str = "page_id", text_col: str = "ma
     found = screened.filter("kind = 'message'").dropDuplicates(["id", "line_no"])
     counted = pages_.join(found.select("id", "line_no", "line", "rest"), "id", "left").withColumn("form", line_form(F.col("line")))
     heads = F.col("line").rlike(r"(?U)^\s*#")
-    counted = counted.withColumn("h", F.when((F.length("form") >= 20) & ~heads, F.xxhash64("site", "form"))).join(hot.withColumn("excessive", F.lit(True)), "h", "left")
+    counted = counted.withColumn("h", F.when((F.length("form") >= MIN_FORM) & ~heads, F.xxhash64("site", "form"))).join(hot.withColumn("excessive", F.lit(True)), "h", "left")
     said = F.when(F.col("line").isNotNull() & F.col("excessive").isNull() & ~heads, _words(F.col("line"), F.col("form"))).otherwise(0)
     by_page = counted.groupBy("id").agg(F.max("partial").alias("partial"), F.max("words").alias("words"), F.sum(said).alias("said"), F.sum(F.coalesce("rest", F.lit(0))).alias("rest"), F.count("line").alias("messages"))
     by_page = scratch.keep(by_page.join(own, "id", "left_anti").withColumn("others", F.col("words") - F.col("said") + F.col("rest")), "by_page")
@@ -219,7 +218,7 @@ def residue_pages(pages: DataFrame, id_col: str = "page_id", text_col: str = "ma
     terms = F.filter(F.split(F.lower("line"), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
     heading = F.split(F.concat_ws(" ", F.lower(title), F.regexp_replace(F.lower("url"), r"^[^:]*://[^/]*", "")), r"[^\p{L}]+")
     masked = _body_lines(near).join(near.select("id", "partial", heading.alias("heading")).dropDuplicates(["id"]), "id")
-    masked = masked.withColumn("skeleton", skeleton(F.col("line"))).withColumn("words", _words(F.col("line"), F.col("form")))
+    masked = masked.withColumn("words", _words(F.col("line"), F.col("form")).cast("int")).withColumn("skeleton", skeleton(F.col("line")))
     marks = F.split("skeleton", " ")
     around = F.when(F.array_contains(marks, SLUG), F.size(F.filter(marks, lambda w: ~w.isin(SLUG, NAME, "0")))).otherwise(0)
     low = (F.col("words") <= LINE_WORDS) & (around >= PLAIN_WORDS) & ~F.arrays_overlap(terms, "heading")
