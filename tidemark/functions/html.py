@@ -190,13 +190,17 @@ def content_of(html: str) -> Node:
     return _densest(root) or root
 
 
+# What Turndown, a public converter, escapes so that text isn't taken for markup.
 _ESCAPES = [
     (re.compile(r"\\"), r"\\\\"), (re.compile(r"\*"), r"\\*"), (re.compile(r"^-", re.M), r"\\-"), (re.compile(r"^\+ ", re.M), r"\\+ "), (re.compile(r"^(=+)", re.M), r"\\\1"),
     (re.compile(r"^(#{1,6}) ", re.M), r"\\\1 "), (re.compile(r"`"), r"\\`"), (re.compile(r"^~~~", re.M), r"\\~~~"), (re.compile(r"\["), r"\\["), (re.compile(r"\]"), r"\\]"),
     (re.compile(r"^>", re.M), r"\\>"), (re.compile(r"_"), r"\\_"), (re.compile(r"^(\d+)\. ", re.M), r"\1\\. "),
 ]
 _SPECIAL = re.compile(r"[\\*\-+=#`~\[\]>_]|\d\. ")
-_LANGUAGE = re.compile(r"(?:language|lang|highlight|brush:)[-\s:]*([a-z0-9+#]+)", re.I)
+# What stands before a language in class names of code blocks, and names of highlighters, which are no language.
+LANGUAGE_PREFIXES = ["language", "lang", "highlight", "brush:"]
+HIGHLIGHTERS = ["highlight", "hljs"]
+_LANGUAGE = re.compile(rf"(?:{'|'.join(LANGUAGE_PREFIXES)})[-\s:]*([a-z0-9+#]+)", re.I)
 
 
 def _escaped(text: str) -> str:
@@ -336,27 +340,30 @@ class Markdown:
 
 
 def code_language(node: Node) -> str:
-    """Language of a code block by the usual class names."""
-    inner = next((c for c in node.walk() if c.tag == "code"), None)
-    found = _LANGUAGE.search(node.attrs.get("class", "") or (inner.attrs.get("class", "") if inner else ""))
-    language = found[1].lower() if found else ""
-    return "" if language in ("highlight", "hljs") else language
+    """Language of a code block by the usual class names, of the block or else of the code in it."""
+    names = [n.attrs.get("class", "") for n in (node, *(c for c in node.walk() if c.tag == "code"))][:2]
+    told = next(filter(None, names), "")
+    for match in _LANGUAGE.finditer(told):
+        return match[1].lower() if match[1].lower() not in HIGHLIGHTERS else ""
+    return ""
 
 
 def clean_href(href: str) -> str:
     """The target of a link worth keeping, without tracking parameters; empty for anchors and addresses that aren't pages."""
-    if not href or href.startswith("#") or re.match(r"(?:javascript|mailto|tel):", href, re.I):
+    scheme, colon, _ = href.partition(":")
+    if href[:1] in ("", "#") or (colon and scheme.lower() in ("javascript", "mailto", "tel")):
         return ""
-    if re.match("https?://", href, re.I):
-        try:
-            parts = urlsplit(href)
-            pairs = parse_qsl(parts.query, keep_blank_values=True)
-        except ValueError:
-            return href
-        kept = [(k, v) for k, v in pairs if not LINK_TRACKING.fullmatch(k)]
-        query = parts.query if len(kept) == len(pairs) else urlencode(kept)
-        return urlunsplit((parts.scheme.lower(), parts.netloc.lower() if "@" not in parts.netloc else parts.netloc, parts.path or "/", query, parts.fragment))
-    return href
+    if scheme.lower() not in ("http", "https") or not href[len(scheme) :].startswith("://"):
+        return href
+    try:
+        parts = urlsplit(href)
+        pairs = parse_qsl(parts.query, keep_blank_values=True)
+    except ValueError:
+        return href
+    kept = [(k, v) for k, v in pairs if not LINK_TRACKING.fullmatch(k)]
+    query = parts.query if len(kept) == len(pairs) else urlencode(kept)
+    host = parts.netloc if "@" in parts.netloc else parts.netloc.lower()
+    return urlunsplit((parts.scheme.lower(), host, parts.path or "/", query, parts.fragment))
 
 
 def to_markdown(html: str | None) -> str | None:

@@ -110,13 +110,13 @@ def ranked_percentiles(values: DataFrame, keys: list[str], value: str, percents:
     ranged = Scratch(values.sparkSession, "percentiles").keep(counted.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "counts")
     parts = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_sum").over(Window.partitionBy(*keys)).alias("_all"))
+    parts = parts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), before.alias("_before"), F.sum("_sum").over(Window.partitionBy(*keys)).alias("_total"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_part") == F.col("_p")]
     within = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     upto = ranged.withColumn("_within", within).join(parts, same).withColumn("_upto", F.col("_within") + F.col("_before"))
 
     def at(percent: int) -> Column:
-        return F.min(F.when(F.col("_upto") > F.least(F.col("_all") - 1, F.floor(F.col("_all") * percent / 100)), F.col(value))).alias(f"p{percent}")
+        return F.min(F.when(F.col("_upto") > F.least(F.col("_total") - 1, F.floor(F.col("_total") * percent / 100)), F.col(value))).alias(f"p{percent}")
 
     return upto.groupBy(*keys).agg(*(at(p) for p in percents))
 

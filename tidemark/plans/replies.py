@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions import rendering, text, urls
-from tidemark.operators import admission, cutoffs, demand, fetching, notes, pages, sections, stats, store
+from tidemark.functions import html, rendering, text, urls
+from tidemark.operators import admission, cutoffs, demand, fetching, notes, pages, replay, sections, stats, store
 from tidemark.plans import queries as Q, sql as S
 from tidemark.plans.queries import HOUR, NOW, SINCE, query
 from tidemark.sources.scratch import Scratch
@@ -346,3 +346,73 @@ def stats_text(spark: SparkSession, root: str) -> DataFrame:
     names = {"tokens saved": "tokens_saved", "hits": "hits", "misses": "misses", "pages": "pages_cached", "aliases": "aliases", "notes": "notes"}
     members = F.transform("top", lambda x: F.struct(x["domain"].alias("member"), x["saved"].alias("score")))
     return rows.select(rendering.stats_lines({k: F.col(c) for k, c in names.items()}, members).alias("text"))
+
+
+# ---- distillation of small fixed pages
+
+_PROSE = "Some words of plain text that go on for a while, with a comma. " * 10
+_TEXT = _PROSE.strip()
+#: Pages and the markdown that they have to give.
+_CASES = {
+    "heading": ("<h1>T <a href='#a'></a></h1><p>x</p>", "# T\n\nx"),
+    "levels": ("<h2>a</h2><h6>b</h6>", "## a\n\n###### b"),
+    "emphasis": ("<p>Hello <b>bold</b> <em>it</em> <del>old</del></p>", "Hello **bold** _it_ ~old~"),
+    "code": ("<p><code>a`b</code> and <code>c</code></p>", "``a`b`` and `c`"),
+    "nested list": ("<ul><li>one<ul><li>in</ul><li>two</ul>", "-   one\n    -   in\n-   two"),
+    "numbers": ("<ol start=3><li>a<li>b</ol>", "3.  a\n4.  b"),
+    "tasks": ("<ul><li><input type=checkbox checked> done<li><input type=checkbox> open</ul>", "-   [x] done\n-   [ ] open"),
+    "block": ('<pre class="language-py"><code>x = 1\n\n  y</code></pre>', "```py\nx = 1\n\n  y\n```"),
+    "inner class": ('<pre><code class="lang-Rust">a</code></pre>', "```rust\na\n```"),
+    "brush": ('<pre class="brush: sql">s</pre>', "```sql\ns\n```"),
+    "highlighter": ('<pre class="highlight hljs">s</pre>', "```\ns\n```"),
+    "table": ("<table><tr><th>A<th align=right>B<tr><td>1|2<td>3</table>", "| A | B |\n| --- | --: |\n| 1\\|2 | 3 |"),
+    "table without head": ("<table><tr><td>1<td>2</table>", "|  |  |\n| --- | --- |\n| 1 | 2 |"),
+    "quote": ("<blockquote>q</blockquote><p>r</p>", "> q\n\nr"),
+    "image": ('<p><img src="a.png" alt="pic"><img src="data:x" alt="d"><img src="b.png"></p>', "![pic](a.png)"),
+    "rule": ("<p>a</p><hr><p>b</p>", "a\n\n---\n\nb"),
+    "escapes": ("<p>1 * 2 [z] a_b</p>", "1 \\* 2 \\[z\\] a\\_b"),
+    "link": ("<p><a href='https://Ex.com/p?utm_source=a&amp;k=1'>t</a> <a href='#y'>here</a> <a href='MAILTO:a@b'>m</a> <a href='/r'>r</a></p>", "[t](https://ex.com/p?k=1) here m [r](/r)"),
+    "bare link": ("<p><a href='https://a.b/'>https://a.b/</a></p>", "https://a.b/"),
+    "break": ("<p>a<br>b</p>", "a\nb"),
+    "container": (f"<body><nav>menu</nav><div class='content'>side {_PROSE}</div><main><h2>Real</h2><p>{_PROSE}</p></main><footer>f</footer></body>", f"## Real\n\n{_TEXT}"),
+    "noise": (f"<article><p>{_PROSE}</p><div class='x ad y'>gone</div><p hidden>gone</p><div id='my-cookie-bar'>gone</div><p class='adult'>kept</p></article>", f"{_TEXT}\n\nkept"),
+    "small container": (f"<body><main>tiny</main><div><p>{_TEXT[:124]}</p></div></body>", _TEXT[:124]),
+    "scripts": ("<p>a</p><script>var x = '<p>';</script><style>p{}</style><!-- c --><noscript>n</noscript><template>t</template>", "a"),
+    "empty": ("", ""),
+    "missing": (None, None),
+}
+
+
+def _literal(value: str | None) -> str:
+    return "null" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@query("select * from (values " + ", ".join(f"({_literal(name)}, {_literal(made)})" for name, (_, made) in _CASES.items()) + ") as t(name, markdown)")
+def html_cases(spark: SparkSession, root: str) -> DataFrame:
+    """Small pages, each with one thing to be turned to markdown; what they have to give was written by hand."""
+    rows = spark.createDataFrame([(name, page) for name, (page, _) in _CASES.items()], "name string, page string")
+    return rows.select("name", html.distill_html("page").alias("markdown"))
+
+
+# ---- the log again
+
+Q.ORACLE["stats_json"] = f"""with t as ({Q.ORACLE["global_stats"]})
+select '{{"tokens_saved":' || tokens_saved || ',"hits":' || hits || ',"misses":' || misses || ',"top_domains":[' || coalesce((select string_agg('{{"member":"' || domain || '","score":' || saved || '}}', ',' order by saved desc, domain) from ({Q.ORACLE["top_domains"]})), '') || ']}}' as stats from t"""
+
+Q.ORACLE["replay_log"] = f"""with recursive u as (select distinct url from demand_event where url is not null),
+  c as (select given, canonical_url from {Q._canonical_sql("(select url, url as given from u)", "given")}),
+  p as (select raw, valid and scheme in ('http', 'https') as web, {S.URL_HASH} as h from {S.url_parts("u")}),
+  k as (select raw as url, case when web then left(sha256(canonical_url), 32) else h end as url_hash from p join c on c.given = p.raw),
+  e as (select url_hash, at_ms, seq, case when seq % 2 = 1 then sha256(cast(floor(at_ms / 86400000.0)::bigint as varchar)) end as body, row_number() over (partition by url_hash order by at_ms, seq) as n
+    from (select distinct seq, url, at_ms from demand_event where at_ms is not null) join k using (url)),
+  f(url_hash, n, seq, state, ttl, created, digest, times) as (
+    select url_hash, n, seq, 'miss', 86400000::bigint, at_ms, coalesce(body, ''), case when body is null then []::bigint[] else [at_ms] end from e where n = 1
+    union all
+    select url_hash, n, seq, state, case state when 'hit' then ttl when 'revalidated' then least(604800000, floor(ttl * 1.6::double + 0.5)::bigint)
+        else case when len(times) < 3 or len(gaps) = 0 then 86400000 else greatest(3600000, least(604800000, floor(list_avg(gaps) / 2 + 0.5)::bigint)) end end,
+      case when state = 'hit' then created else at_ms end, case when state = 'miss' then coalesce(body, digest) else digest end,
+      case when state = 'miss' and body is distinct from digest then list_append(times, at_ms)[-20:] else times end
+    from (select e.url_hash, e.n, e.seq, e.at_ms, e.body, f.ttl, f.created, f.digest, f.times, case when e.at_ms - f.created < f.ttl then 'hit' when e.body is null then 'revalidated' else 'miss' end as state,
+        list_filter(list_transform(range(2, len(f.times) + 1), lambda i: f.times[i] - f.times[i - 1]), lambda x: x > 0) as gaps
+      from f join e on e.url_hash = f.url_hash and e.n = f.n + 1))
+select url_hash, seq, state, ttl as ttl_ms from f"""
