@@ -131,3 +131,25 @@ def test_components(spark):
     links = spark.createDataFrame(chain, "a long, b long")
     got = {r.node: r.root for r in P.connected_components(links, Scratch(spark, "t")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_exact(spark):
+    """The join of prefixes loses no pair, those just at the threshold included."""
+    rng = random.Random(4)
+    rows = sample()
+    for k in range(40):  # pairs of sets of 100 runs with 82 or 83 in common: similarities of 0.695 and 0.709
+        words = [f"e{k}x{i}" for i in range(102)]
+        cut = rng.choice([82, 83, 84])
+        rows += [(5000 + 2 * k, " ".join(words)), (5001 + 2 * k, " ".join(words[: cut + 2] + [f"f{k}x{i}" for i in range(100 - cut)]))]
+    df = spark.createDataFrame(rows + rows[:9], SCHEMA)
+    expected = brute(rows)
+    assert {tuple(r) for r in P.NearDuplicates(df, exact=True).pairs().collect()} == expected
+    assert P.NearDuplicates(df.limit(0), exact=True).pairs().isEmpty()
+
+
+def test_many_copies_are_spread(spark):
+    """What p4_found expands: k equal copies are one node, and k (k - 1) / 2 rows of its pairs come from a join that skew handling can split on both sides."""
+    base = " ".join(f"a{i}" for i in range(120))
+    near = P.NearDuplicates(spark.createDataFrame([(i, base) for i in range(300)], SCHEMA))
+    assert near.members.select("node").distinct().count() == 1 and near.links.isEmpty()
+    assert near.pairs().count() == 300 * 299 // 2

@@ -131,6 +131,13 @@ with e as (select distinct seq, url, domain from demand_event),
   r as (select field, value, n, (select count(distinct seq) from e) as total from c)
 """
 
+_P4 = r"""
+with w as (select distinct page_id, regexp_extract_all(lower(markdown), '[\p{L}\p{N}]+') as ws from cached_page),
+  g as (select distinct page_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as s from (select page_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 100)),
+  n as (select page_id, count(*) as n from g group by page_id),
+  c as (select a.page_id as a, b.page_id as b, count(*) as k from g a join g b on a.s = b.s and a.page_id < b.page_id group by 1, 2),
+  pairs as (select a as page_id_a, b as page_id_b from c join n x on x.page_id = a join n y on y.page_id = b where k / (x.n + y.n - k)::double >= 0.7)
+"""
 _P8 = r"""
 with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents),
   v as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as ws from eval_item),
@@ -167,12 +174,11 @@ with parts as (select distinct doc_id, unnest(string_split(text, chr(10) || chr(
   forms as (select doc_id, cast(s as bigint) as s, cast(s + length(p) as bigint) as e, trim(regexp_replace(lower(p), '\\s+', ' ', 'g')) as form from placed),
   firsts as (select doc_id, s, e, first_value(doc_id) over w as kept_doc, first_value(s) over w as kept_start from forms where length(form) >= 40 window w as (partition by form order by doc_id, s))
 select doc_id, s as span_start, e as span_end, kept_doc, kept_start from firsts where doc_id <> kept_doc or s <> kept_start""",
-    "p4_found": r"""
-with w as (select distinct page_id, regexp_extract_all(lower(markdown), '[\p{L}\p{N}]+') as ws from cached_page),
-  g as (select distinct page_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as s from (select page_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 100)),
-  n as (select page_id, count(*) as n from g group by page_id),
-  c as (select a.page_id as a, b.page_id as b, count(*) as k from g a join g b on a.s = b.s and a.page_id < b.page_id group by 1, 2)
-select a as page_id_a, b as page_id_b from c join n x on x.page_id = a join n y on y.page_id = b where k / (x.n + y.n - k)::double >= 0.7""",
+    "p4_found": _P4 + "select * from pairs",
+    "p4_groups": _P4.replace("with w as", "with recursive w as")
+    + """, ends as (select page_id_a as a, page_id_b as b from pairs union all select page_id_b, page_id_a from pairs),
+  reach(id, far) as (select page_id, page_id from n union select reach.id, ends.b from reach join ends on ends.a = reach.far)
+select id as page_id, min(far) as group_id, (select count(*) from ends where a = id) as links from reach group by id""",
     "p8_found": _P8 + "select distinct doc_id, item_id from leaks",
     "p8_matches": r"""
 with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents),
