@@ -88,17 +88,40 @@ class _Late:
         return isinstance(other, _Late) and self.value == other.value
 
 
+def events_once(events: DataFrame, fields: list[str], id_col: str = "seq") -> DataFrame:
+    """Redelivered rows count once; of differing rows with one id, the greatest holds. Rows with a null id count as one."""
+    return events.groupBy(id_col).agg(F.max(F.struct(*fields)).alias("v")).select(id_col, "v.*")
+
+
+#: Field under which every event is counted once, whatever its values.
+EVENTS = ""
+
+
+def sorted_runs(values: DataFrame) -> DataFrame:
+    """(field, value, n): each task's values in runs, written."""
+    return Scratch(values.sparkSession, "p6").keep(values.sortWithinPartitions("field", "value").mapInArrow(_runs, RUNS), "runs")
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """(field, value, n): one row for each distinct pair, in ranges of (field, value)."""
+    return runs.repartitionByRange("field", "value").sortWithinPartitions("field", "value").mapInArrow(_runs, RUNS)
+
+
 def run_lengths(values: DataFrame) -> DataFrame:
     """(field, value, n): one row for each distinct pair, in ranges of (field, value)."""
-    runs = values.sortWithinPartitions("field", "value").mapInArrow(_runs, RUNS)
-    scratch = Scratch(values.sparkSession, "p6")
-    ranged = scratch.keep(runs, "runs").repartitionByRange("field", "value").sortWithinPartitions("field", "value")
-    return ranged.mapInArrow(_runs, RUNS)
+    return merged_runs(sorted_runs(values))
 
 
-def events_once(events: DataFrame, fields: list[str], id_col: str = "seq") -> DataFrame:
-    """Redelivered rows count once; of differing rows with one id, the greatest holds. Rows with a null id count as one."""
-    return events.groupBy(id_col).agg(F.max(F.struct(*fields)).alias("v")).select(id_col, "v.*")
+def counted(events: DataFrame, fields: list[str], id_col: str) -> tuple[DataFrame, int]:
+    """(field, value, n), one row for each distinct pair, in ranges of (field, value); and the number of events.
+
+    The events are read and brought together once: their number comes from the runs too.
+    """
+    pairs = F.array(F.struct(F.lit(EVENTS).alias("field"), F.lit("").alias("value")), *(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))
+    values = events_once(events, fields, id_col).select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null")
+    runs = sorted_runs(values)
+    total = runs.filter(F.col("field") == EVENTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return merged_runs(runs.filter(F.col("field") != EVENTS)), total
 
 
 def heavy_hitters(events: DataFrame, shares: dict[str, float], id_col: str = "seq") -> DataFrame:
@@ -106,17 +129,15 @@ def heavy_hitters(events: DataFrame, shares: dict[str, float], id_col: str = "se
 
     A heap of 1 + 1/share values a range can't lose one: no more values than 1/share can hold that share. Counts are exact.
     """
-    once = events_once(events, list(shares), id_col)
-    pairs = once.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in shares))).alias("p")).select("p.*").filter("value is not null")
-    total = once.count()
+    counts, total = counted(events, list(shares), id_col)
     least = {f: math.ceil(Fraction(str(s)) * total) for f, s in shares.items()}
     size = max(math.floor(1 / Fraction(str(s))) + 1 for s in shares.values())
-    top = run_lengths(pairs).mapInArrow(_heaps(size), "field string, value string, n long")
+    top = counts.mapInArrow(_heaps(size), RUNS)
     limit = F.create_map(*(x for f, n in least.items() for x in (F.lit(f), F.lit(n))))[F.col("field")]
     return top.filter(F.col("n") >= limit).withColumn("total", F.lit(total))
 
 
 def top_k(events: DataFrame, field: str, k: int, id_col: str = "seq") -> DataFrame:
     """(value, n) of the k most frequent values, ties by value; k is the feature's limit."""
-    pairs = events_once(events, [field], id_col).select(F.lit(field).alias("field"), F.col(field).alias("value")).filter("value is not null")
-    return run_lengths(pairs).mapInArrow(_heaps(k), "field string, value string, n long").orderBy(F.desc("n"), "value").limit(k).select("value", "n")
+    counts, _ = counted(events, [field], id_col)
+    return counts.mapInArrow(_heaps(k), RUNS).orderBy(F.desc("n"), "value").limit(k).select("value", "n")
