@@ -70,3 +70,10 @@ def test_completed(spark):
     df = spark.createDataFrame([("a", None, None), ("a", "K", "L")], "markdown string, content_hash string, body_hash string")
     got = pages.completed(df).collect()
     assert len(got[0].content_hash) == 16 and len(got[0].body_hash) == 64 and (got[1].content_hash, got[1].body_hash) == ("K", "L")
+
+
+def test_shells_keep_the_default(spark):
+    rows = [("a", 3_600_000 * 10 * k, k == 2) for k in range(4)] + [("b", 3_600_000 * 10 * k, None) for k in range(4)]
+    df = spark.createDataFrame(rows, "k string, at long, shell boolean")
+    assert {r.k: r.ttl_ms for r in pages.adaptive_ttl(df, "k", "at", shell="shell").collect()} == {"a": pages.TTL_MS, "b": 5 * 3_600_000}
+    assert {r.ttl_ms for r in pages.adaptive_ttl(df, "k", "at").collect()} == {5 * 3_600_000}

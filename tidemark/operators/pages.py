@@ -28,14 +28,18 @@ def versions(saves: DataFrame, key: str, digest: str, at: str, seq: str) -> Data
     return before.filter(F.col("_before").isNull() | (F.col("_before") != F.col(digest))).drop("_before")
 
 
-def adaptive_ttl(history: DataFrame, key: str, at: str, ring: int = RING) -> DataFrame:
-    """(key, ttl_ms): half the mean positive gap between a page's newest versions, within bounds; a day where fewer than three versions or no gap tell."""
+def adaptive_ttl(history: DataFrame, key: str, at: str, ring: int = RING, shell: str | None = None) -> DataFrame:
+    """(key, ttl_ms): half the mean positive gap between a page's newest versions, within bounds; a day where fewer than three versions or no gap tell.
+
+    `shell` names a column that is true for versions that are application shells; a page with one among its newest keeps the day.
+    """
     by = Window.partitionBy(key)
     newest = history.withColumn("_rank", F.row_number().over(by.orderBy(F.desc(at)))).filter(F.col("_rank") <= ring)
     gaps = newest.withColumn("_gap", F.col(at) - F.lag(at).over(by.orderBy(at)))
     mean = F.avg(F.when(F.col("_gap") > 0, F.col("_gap")))
     ttl = F.least(F.lit(TTL_MOST_MS), F.greatest(F.lit(TTL_LEAST_MS), F.floor(mean / 2 + 0.5)))
-    return gaps.groupBy(key).agg(F.when((F.count("*") >= 3) & mean.isNotNull(), ttl).otherwise(F.lit(TTL_MS)).cast("long").alias("ttl_ms"))
+    tells = (F.count("*") >= 3) & mean.isNotNull() & ~(F.coalesce(F.max(shell), F.lit(False)) if shell else F.lit(False))
+    return gaps.groupBy(key).agg(F.when(tells, ttl).otherwise(F.lit(TTL_MS)).cast("long").alias("ttl_ms"))
 
 
 def is_fresh(created_at: Column, ttl_ms: Column, now: int | Column) -> Column:

@@ -6,6 +6,7 @@ alone counts deliveries. Times are compared with NOW, which stands for the calle
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -212,6 +213,13 @@ def html_distill(spark: SparkSession, root: str) -> DataFrame:
     return keys.join(made, "h").select("page_id", F.col("distilled_text").alias("markdown"), "original", text.estimate_tokens("distilled_text").alias("distilled"))
 
 
+@query()
+def distill_savings(spark: SparkSession, root: str) -> DataFrame:
+    """One row: tokens of all pages before and after distillation, and the whole percent saved."""
+    sums = html_distill(spark, root).agg(F.coalesce(F.sum("original"), F.lit(0)).alias("original"), F.coalesce(F.sum("distilled"), F.lit(0)).alias("distilled"))
+    return sums.withColumn("percent", text.percent_saved(text.tokens_saved("original", "distilled"), "original"))
+
+
 @query(rf"select page_id, {S.trim(r'''regexp_replace(regexp_replace(regexp_replace(markdown, '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?:\[\]\([^)]*\)\s*)+', '', 'g')''')} as tidy from (select distinct page_id, markdown from cached_page)")
 def html_tidy(spark: SparkSession, root: str) -> DataFrame:
     return _saves(spark, root, "markdown").select("page_id", html.tidied(F.col("markdown")).alias("tidy"))
@@ -392,6 +400,18 @@ def adaptive_ttl(spark: SparkSession, root: str) -> DataFrame:
     return pages.adaptive_ttl(seen, "user_id", "at")
 
 
+@query(
+    f"""with {_VERSIONS}, r as (select v.url_hash, v.created_at as t, coalesce(p.shell, false) as shell, row_number() over (partition by v.url_hash order by v.created_at desc, v.page_id desc) as k
+    from versions v join (select page_id, bool_or(coalesce(spa_partial, false)) as shell from cached_page group by page_id) p using (page_id)),
+  g as (select url_hash, shell, t - lag(t) over (partition by url_hash order by t) as gap from r where k <= 20)
+select url_hash, cast(case when count(*) < 3 or coalesce(max(gap), 0) <= 0 or bool_or(shell) then 86400000 else least(604800000, greatest(3600000, floor(avg(case when gap > 0 then gap end) / 2 + 0.5))) end as bigint) as ttl_ms from g group by url_hash"""
+)
+def page_ttl(spark: SparkSession, root: str) -> DataFrame:
+    """Freshness of each page from the times of its versions; shells keep the default."""
+    shells = _saves(spark, root, "spa_partial")
+    return pages.adaptive_ttl(_versions(spark, root).join(shells, "page_id"), "url_hash", "created_at", shell="spa_partial")
+
+
 @query(f"select url_hash, page_id, 1769650000000 - created_at < coalesce(ttl_ms, 86400000) as fresh, cast(least(604800000, floor(coalesce(ttl_ms, 86400000) * 1.6::double + 0.5)) as bigint) as lease from {_LATEST}")
 def fresh_pages(spark: SparkSession, root: str) -> DataFrame:
     now = store.latest(_keyed(spark, root, "created_at", "ttl_ms"), "url_hash", "created_at", "page_id")
@@ -646,6 +666,11 @@ def model_cutoff(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(m,) for m in _MODELS], "model string").select("model", cutoffs.cutoff_of("model").alias("cutoff"))
 
 
+@query("select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in cutoffs.CUTOFFS.items()) + ") as t(model_key, cutoff)")
+def cutoff_registry(spark: SparkSession, root: str) -> DataFrame:
+    return cutoffs.registry(spark)
+
+
 @query(f"with {_VERSIONS} select url_hash, count(*) as changes, arg_max(digest, (created_at, digest)) as latest from versions where created_at > 1768000000000 group by url_hash")
 def whats_new(spark: SparkSession, root: str) -> DataFrame:
     return cutoffs.changes_since(_versions(spark, root), "url_hash", "digest", "created_at", SINCE)
@@ -718,24 +743,41 @@ def fetch_answers(spark: SparkSession, root: str) -> DataFrame:
 # ---- streams
 
 
+def _as_stream(spark: SparkSession, path: str, schema, transform, mode: str, label: str) -> DataFrame:
+    """What a stream over a folder of files gives once it has read them all: its last table in mode complete, all rows in mode append."""
+    scratch = Scratch(spark, label)
+    kept: list[DataFrame] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        kept.append(scratch.keep(batch, f"batch{number}"))
+
+    out = transform(spark.readStream.schema(schema).parquet(path))
+    run = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch.path("state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    if not kept:
+        return spark.createDataFrame([], out.schema)
+    return kept[-1] if mode == "complete" else functools.reduce(DataFrame.unionByName, kept)
+
+
 @query("select domain, cast(sum(greatest(0, coalesce(saved, 0))) as bigint) as saved, count(*) filter (where hit) as hits, count(*) filter (where not hit) as misses from activity group by domain")
 def stream_totals(spark: SparkSession, root: str) -> DataFrame:
     """Running totals of the activity table read as a stream, as they stand when it has been read.
 
     Deliveries are counted, as in its SQL: a row delivered twice counts twice, unlike in `domain_leaderboard` and `global_stats`.
     """
-    scratch = Scratch(spark, "stream")
     path = f"{root}/activity.parque[t]"  # a pattern, as a stream's source may be a folder or a file
-    schema = read_table(spark, root, "activity").schema
-    out = {}
-
-    def keep(batch: DataFrame, number: int) -> None:
-        out["df"] = scratch.keep(batch, f"totals{number}")
-
-    totals = folds.running_totals(spark.readStream.schema(schema).parquet(path))
-    run = totals.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch.path("state")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return out.get("df", spark.createDataFrame([], totals.schema))
+    return _as_stream(spark, path, read_table(spark, root, "activity").schema, folds.running_totals, "complete", "stream")
+
+
+@query(ORACLE["request_windows"])
+def stream_windows(spark: SparkSession, root: str) -> DataFrame:
+    """The requests of `request_windows` as a stream: each client's come in order, and its open window is kept as state."""
+    rows = read_table(spark, root, "activity", "seq", "domain", "at_ms").dropDuplicates(["seq"]).filter("at_ms is not null")
+    requests = rows.select(F.coalesce("domain", F.lit("anon")).alias("client"), "at_ms", "seq")
+    arrived = Scratch(spark, "requests")
+    schema = arrived.keep(requests.repartition("client").sortWithinPartitions("client", "at_ms", "seq"), "arrived").schema
+    with folds.state_store(spark):
+        return _as_stream(spark, arrived.path("arrived"), schema, lambda df: folds.anchored_counts(df, HOUR, 3), "append", "windows")
 
 
 from tidemark.plans import replies  # noqa: E402, F401  (registers its queries)

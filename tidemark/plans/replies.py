@@ -416,3 +416,26 @@ Q.ORACLE["replay_log"] = f"""with recursive u as (select distinct url from deman
         list_filter(list_transform(range(2, len(f.times) + 1), lambda i: f.times[i] - f.times[i - 1]), lambda x: x > 0) as gaps
       from f join e on e.url_hash = f.url_hash and e.n = f.n + 1))
 select url_hash, seq, state, ttl as ttl_ms from f"""
+
+_STATES = Q.ORACLE["fetch_states"]
+_ANSWERS = f"""{_STATES[: _STATES.index("select st.request_id, state")].rstrip()},
+  now0 as (select distinct page_id, markdown, original_tokens from cached_page),
+  hit0 as (select request_id, current, coalesce(min(case when lower(s.heading) = 'rows' then pos end), min(case when contains(lower(s.heading), 'rows') then pos end)) as begin from st join sections s on s.page_id = current where state = 'section' group by request_id, current),
+  hit1 as (select hit0.*, s.level from hit0 join sections s on s.page_id = current and s.pos = begin),
+  hit2 as (select hit1.*, (select min(s.pos) from sections s where s.page_id = current and s.pos > begin and s.level <= hit1.level) as stop from hit1),
+  part as (select request_id, {S.trim("string_agg(body, '' order by s.pos)")} as body from hit2 join sections s on s.page_id = current and s.pos >= begin and (stop is null or s.pos < stop) group by request_id),
+  new0 as (select request_id, s.pos, s.body, s.sha256, lower(s.heading) as name from st join sections s on s.page_id = current where state = 'delta'),
+  old0 as (select request_id, s.pos, s.heading, s.sha256, lower(s.heading) as name from st join sections s on s.page_id = st.prior where state = 'delta'),
+  old1 as (select request_id, name, arg_max(sha256, pos) as sha256 from old0 group by request_id, name),
+  bodies as (select request_id, string_agg({S.trim("body")}, chr(10) || chr(10) order by case when old1.sha256 is null then 1 else 0 end, pos) as bodies from new0 left join old1 using (request_id, name) where old1.sha256 is null or old1.sha256 <> new0.sha256 group by request_id),
+  gone as (select request_id, '_Removed since then: ' || string_agg(heading, ', ' order by pos) || '_' as gone from old0 where (request_id, name) not in (select (request_id, name) from new0) group by request_id),
+  said as (select st.request_id, state, st.content_hash, n.changed, n.total, now0.markdown as whole, original_tokens,
+      case state when 'page' then now0.markdown when 'section' then part.body when 'delta' then array_to_string(list_filter([bodies, gone], lambda x: x is not null), chr(10) || chr(10)) end as text
+    from st left join n using (request_id) join now0 on now0.page_id = current left join part using (request_id) left join bodies using (request_id) left join gone using (request_id)),
+  w as (select *, {S.tokens("text")} as n, left(regexp_replace(text, '({S.ASTRAL})', '\\1' || chr(57344), 'g'), 800) as p, substr(regexp_replace(text, '({S.ASTRAL})', '\\1' || chr(57344), 'g'), 801, 1) as nx from said),
+  h as (select *, replace(case when nx = chr(57344) then left(p, 799) else p end, chr(57344), '') as head from w),
+  c as (select *, len(string_split(head, chr(10) || chr(10))) as k, left(head, length(head) - length(list_extract(string_split(head, chr(10) || chr(10)), -1)) - 2) as cut from h),
+  b as (select *, case when request_id % 3 > 0 or n <= 200 or text is null then text else {S.trim(f"case when k > 1 and {S.units('cut')} > 400 then cut else head end")} || chr(10) || chr(10) || '_[clipped to ~200 tokens]_' end as markdown from c)
+select request_id, state, markdown, case when state = 'unchanged' then {S.tokens("whole")} else {S.tokens("markdown")} end as tokens,
+  case when state = 'unchanged' then {S.tokens("whole")} else greatest(0, coalesce(original_tokens, 0) - {S.tokens("markdown")}) end as saved, content_hash, changed as sections_changed, total as sections_total from b"""
+Q.ORACLE["fetch_answers"] = _ANSWERS

@@ -24,3 +24,12 @@ def read_once(spark: SparkSession, root: str, name: str, key: str, *columns: str
     again = table.select(F.col(key).alias("_key"), place.alias("_at")).groupBy("_key").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     rows = table.select(key, *columns, place.alias("_at")).join(small_side(again), F.col(key).eqNullSafe(F.col("_key")), "left")
     return rows.filter("_first is null or _at = _first").select(key, *columns)
+
+
+def open_store(spark: SparkSession, name: str, schema: str, location: str | None = None) -> DataFrame:
+    """A store's table: the shared one at `location` if one is named, else an empty one of this session under `name`, made once."""
+    if location:
+        return spark.read.schema(schema).parquet(f"{location.rstrip('/')}/{name}")
+    if not spark.catalog.tableExists(name):
+        spark.createDataFrame([], schema).createOrReplaceTempView(name)
+    return spark.table(name)
