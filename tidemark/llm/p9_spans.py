@@ -6,8 +6,8 @@ globally, the earliest ranked occurrence is kept and the rest are removed, with
 `shared_spans` finds verbatim stretches wherever they begin or end, which whole lines or paragraphs can't. Its units are
 cut by content: of each window of `span` characters the run of UNIT characters with the least hash is a unit, so equal
 windows hold equal units wherever they stand. Digests are grouped globally in three rounds, each only over what the
-round before has left: units; the stretches that parts of a shared unit's windows cover; single windows, but for the parts
-whose stretch is the same wherever the unit stands, which are thereby settled. Groups are reduced to their least and greatest document with partial counts a task, so a unit that stands in
+round before has left: units; the stretches that parts of a shared unit's windows cover; single windows. The parts whose
+stretch is the same wherever the unit stands are thereby settled, and those whose windows have a core in common that stands in no other document share nothing. Groups are reduced to their least and greatest document with partial counts a task, so a unit that stands in
 a third of all documents makes no large group, and no pairs of documents are made.
 
 Stretches and windows are held to be equal if they agree in 96 bits of two hashes: among 10^14 windows less than one pair
@@ -176,47 +176,48 @@ def _shared_units(block: Block, extra: dict, span: int, unit: int) -> tuple[np.n
     return at[shared], first[shared], last[shared], times[shared]
 
 
-def _parts(at: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last): the windows of each unit in parts of PART windows, cut at fixed distances from the unit."""
+def _parts(at: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
+    """(row, first, last, low, high): the windows of each unit in parts of PART windows, cut at fixed distances from the unit; low and high are the first and last window of a part whose unit has all its windows."""
     zero = at - reach
     low, high = (first - zero) // PART, (last - zero) // PART
     sizes = high - low + 1
     row = np.repeat(np.arange(len(at)), sizes)
     part = low[row] + np.arange(sizes.sum()) - (np.cumsum(sizes) - sizes)[row]
     begin = zero[row] + part * PART
-    return row, np.maximum(first[row], begin), np.minimum(last[row], begin + PART - 1)
+    return row, np.maximum(first[row], begin), np.minimum(last[row], begin + PART - 1), begin, begin + PART - 1
 
 
 def _stretch_rows(span: int, unit: int):
-    """The stretches that parts of a shared unit's windows cover, and how often the unit occurs."""
+    """The stretches that parts of a shared unit's windows cover, what all of a part's windows have in common, and how often the unit occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, extra in _blocks(_rows(batch, 2), span):
                 at, first, last, times = _shared_units(block, extra, span, unit)
-                row, first, last = _parts(at, first, last, span - unit)
+                row, first, last, low, high = _parts(at, first, last, span - unit)
                 at, times = at[row], times[row]
                 doc, begin = block.place(first)
+                core = _mixed(block.hashes(high, low + span) + (at - low).astype(np.uint64))
                 digest = _mixed(block.hashes(first, last + span) + (at - first).astype(np.uint64))
                 check = pa.array(block.checks(first, last + span))
-                yield pa.RecordBatch.from_arrays([_long(doc), _long(digest), check, _long(begin), _long(begin + (last - first)), _long(times)], ["doc", "digest", "check", "first", "last", "times"])
+                yield pa.RecordBatch.from_arrays([_long(doc), _long(digest), check, _long(core), _long(begin), _long(begin + (last - first)), _long(times)], ["doc", "digest", "check", "core", "first", "last", "times"])
 
     return run
 
 
 def _window_rows(span: int, unit: int):
-    """Windows of the shared units, but for those of stretches that are settled."""
+    """Windows of the parts that are still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, extra in _blocks(_rows(batch, 3), span):
                 at, first, last, _ = _shared_units(block, extra, span, unit)
-                _, first, last = _parts(at, first, last, span - unit)
+                _, first, last, _, _ = _parts(at, first, last, span - unit)
                 _, begin = block.place(first)
-                open_ = np.ones(len(first), bool)
+                open_ = np.zeros(len(first), bool)
                 cuts = np.searchsorted(block.owner[first], np.arange(len(block.docs) + 1))
                 for d, start, stop in zip(block.docs.tolist(), cuts, cuts[1:]):
-                    open_[start:stop] = ~np.isin(begin[start:stop], extra[d][2])
+                    open_[start:stop] = np.isin(begin[start:stop], extra[d][2])
                 first, sizes = first[open_], (last - first + 1)[open_]
                 place = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 doc, begin = block.place(place)
@@ -244,10 +245,12 @@ def shared_spans(documents: DataFrame, doc_col: str = "doc_id", text_col: str =
     listed = units.select("doc", "digest").join(_in_several(units, F.sum("times").alias("n"), by=("digest",)), "digest").groupBy("doc").agg(F.collect_list(F.struct("digest", "n")).alias("u"))
     near = scratch.keep(texts.join(listed, "doc").select("doc", "text", F.col("u.digest").alias("units"), F.col("u.n").alias("times")), "near")
     scratch.drop("units")
-    stretches = scratch.keep(near.mapInArrow(_stretch_rows(span, unit), "doc long, digest long, check int, first long, last long, times long"), "stretches")
+    stretches = scratch.keep(near.mapInArrow(_stretch_rows(span, unit), "doc long, digest long, check int, core long, first long, last long, times long"), "stretches")
     common = scratch.keep(stretches.join(_in_several(stretches, F.count("*").alias("n")), ["digest", "check"]).select("doc", "first", "last", (F.col("n") == F.col("times")).alias("settled")), "common")
-    settled = common.filter("settled").groupBy("doc").agg(F.collect_set("first").alias("begins"))
-    windows = scratch.keep(near.join(settled, "doc", "left").select("doc", "text", "units", "times", "begins").mapInArrow(_window_rows(span, unit), "doc long, digest long, check int, first long"), "windows")
+    settled = common.filter("settled").select("doc", "first")
+    several = _in_several(stretches.select("doc", F.col("core").alias("digest")), by=("digest",)).withColumnRenamed("digest", "core")
+    open_ = stretches.select("doc", "core", "first").join(several, "core", "left_semi").join(settled, ["doc", "first"], "left_anti").groupBy("doc").agg(F.collect_set("first").alias("begins"))
+    windows = scratch.keep(near.join(open_, "doc").select("doc", "text", "units", "times", "begins").mapInArrow(_window_rows(span, unit), "doc long, digest long, check int, first long"), "windows")
     scratch.drop("near", "stretches")
     single = windows.join(_in_several(windows), ["digest", "check"], "left_semi").select("doc", "first", F.col("first").alias("last"))
     return _joined_runs(common.select("doc", "first", "last").unionByName(single), span).select(F.col("doc").alias(doc_col), "span_start", "span_end")
