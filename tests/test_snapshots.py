@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.snapshots import snapshot_changes
+from tidemark.operators.snapshots import keep_snapshot, next_changes, snapshot_changes
 
 SCHEMA = "snap_no int, url_hash string, heading string, body string, loaded_at long"
 
@@ -44,3 +44,20 @@ def test_cases(spark):
     # a later row holds whatever it says, and of rows loaded at once one is chosen the same way each time
     tie = spark.createDataFrame([(1, "p", "A", "x", 5), (1, "p", "A", "y", 5), (2, "p", "A", "x", 1), (2, "p", "A", "y", 1)], SCHEMA)
     assert changed(tie) == set()
+
+
+def test_delivery_by_delivery(spark, tmp_path):
+    """Each delivery against the kept one before it gives what all of them give together."""
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 4), rng.choice("pqr"), rng.choice([" A ", "a", "B", None]), rng.choice(["x", "x \r\n", "y", None]), i) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = set()
+    keep_snapshot(df.filter("snap_no = 1"), str(tmp_path / "1"))
+    for n in (2, 3, 4):
+        delivery = df.filter(F.col("snap_no") == n)
+        got |= {tuple(r) for r in next_changes(spark.read.parquet(str(tmp_path / str(n - 1))), delivery).collect()}
+        keep_snapshot(delivery, str(tmp_path / str(n)))
+    assert got == brute(rows)
+    kept = spark.read.parquet(str(tmp_path / "4"))
+    assert kept.columns == ["url_hash", "heading", "snap_no", "digest"] and next_changes(kept, df.limit(0)).isEmpty()
+    assert next_changes(kept.limit(0), df.filter("snap_no = 2")).isEmpty()

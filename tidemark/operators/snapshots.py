@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+CHANGES = "snap_no int, url_hash string, heading string, change string"
+
+
 def section_key(heading: Column) -> Column:
     """Trimmed, in lower case; `(intro)` for a null heading."""
     return F.coalesce(F.lower(F.regexp_replace(heading, r"(?U)^\s+|\s+$", "")), F.lit("(intro)"))
@@ -83,6 +86,30 @@ def _merge(numbers: list[int]):
     return run
 
 
+def _ranged(reduced: DataFrame) -> DataFrame:
+    """Reduced rows in ranges of their keys, sorted."""
+    return reduced.select("url_hash", "heading", "snap_no", "digest").repartitionByRange("url_hash", "heading").sortWithinPartitions("url_hash", "heading", "snap_no")
+
+
+def keep_snapshot(rows: DataFrame, path: str) -> None:
+    """Writes one delivery's reduced rows in sorted ranges of keys, so that the next delivery needs no older one's texts."""
+    _ranged(held_rows(rows)).write.mode("overwrite").parquet(path)
+
+
+def next_changes(kept: DataFrame, delivery: DataFrame) -> DataFrame:
+    """What snapshot_changes gives for one more delivery, from the kept snapshot before it, of which only keys and digests are read.
+
+    `kept` is what keep_snapshot wrote; `delivery` has rows of one later snap_no. A delivery without rows has no number, so
+    nothing can be told of it.
+    """
+    number = delivery.agg(F.max("snap_no")).first()[0]
+    before = kept.agg(F.max("snap_no")).first()[0]
+    if number is None:
+        return delivery.sparkSession.createDataFrame([], CHANGES)
+    numbers = [n for n in (before, number) if n is not None]
+    return _ranged(kept.unionByName(held_rows(delivery))).mapInArrow(_merge(numbers), CHANGES)
+
+
 def snapshot_changes(rows: DataFrame, numbers: list[int] | None = None) -> DataFrame:
     """(snap_no, url_hash, heading, change): for each snapshot after the first, what was added, removed or changed since the one before.
 
@@ -91,5 +118,4 @@ def snapshot_changes(rows: DataFrame, numbers: list[int] | None = None) -> DataF
     """
     if numbers is None:
         numbers = sorted(r[0] for r in rows.select("snap_no").distinct().collect() if r[0] is not None)
-    ranged = held_rows(rows).select("url_hash", "heading", "snap_no", "digest").repartitionByRange("url_hash", "heading").sortWithinPartitions("url_hash", "heading", "snap_no")
-    return ranged.mapInArrow(_merge(numbers), "snap_no int, url_hash string, heading string, change string")
+    return _ranged(held_rows(rows)).mapInArrow(_merge(numbers), CHANGES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import html, rendering, text, urls
-from tidemark.operators import admission, cutoffs, demand, fetching, notes, pages, replay, sections, stats, store
+from tidemark.operators import admission, cutoffs, demand, fetching, notes, pages, sections, stats, store, windows
 from tidemark.plans import queries as Q, sql as S
 from tidemark.plans.queries import HOUR, NOW, SINCE, query
 from tidemark.sources.scratch import Scratch
@@ -439,3 +439,52 @@ _ANSWERS = f"""{_STATES[: _STATES.index("select st.request_id, state")].rstrip()
 select request_id, state, markdown, case when state = 'unchanged' then {S.tokens("whole")} else {S.tokens("markdown")} end as tokens,
   case when state = 'unchanged' then {S.tokens("whole")} else greatest(0, coalesce(original_tokens, 0) - {S.tokens("markdown")}) end as saved, content_hash, changed as sections_changed, total as sections_total from b"""
 Q.ORACLE["fetch_answers"] = _ANSWERS
+
+
+# ---- footers of all states
+
+
+@query(
+    f"""with t as ({Q.ORACLE["fetch_hits"]}), p as (select distinct page_id, {S.tokens("markdown")} as d, coalesce(original_tokens, 0) as o, left(sha256(markdown), 16) as h from cached_page where markdown is not null)
+select request_id, '_cache ' || state || ' · ' || d || ' tokens returned vs ~' || o || ' raw · saved ~' || greatest(0, o - d) || ' tokens (' || cast(case when o = 0 then 0 else floor(greatest(0, o - d) * 100 / o::double + 0.5) end as bigint) || '%) · content hash ' || h || '_' as footer
+from t join p using (page_id)"""
+)
+def hit_footers(spark: SparkSession, root: str) -> DataFrame:
+    """Footers of the addresses of `fetch_hits` that a stored page answers: by itself, by an alias or confirmed."""
+    told = fetch_hits(spark, root).filter("page_id is not null")
+    rows = Q._saves(spark, root, "markdown", "original_tokens").filter("markdown is not null")
+    sizes = rows.select("page_id", text.estimate_tokens("markdown").alias("d"), F.coalesce("original_tokens", F.lit(0)).alias("o"), text.content_hash("markdown").alias("h"))
+    off, saved = F.lit(False), text.tokens_saved("o", "d")
+    state = rendering.fetch_state(off, off, F.lit(True), F.col("state") == "hit (revalidated)", F.col("state") == "hit (alias)")
+    joined = told.join(sizes, "page_id")
+    return joined.select("request_id", rendering.footer(state, F.col("d"), F.col("o"), saved, text.percent_saved(saved, "o"), F.col("h"), F.lit(None).cast("string")).alias("footer"))
+
+
+@query(f"select request_id, case state when 'unchanged' then 'unchanged' when 'delta' then 'hit (section delta)' else 'hit' end as told from ({_STATES})")
+def answer_states(spark: SparkSession, root: str) -> DataFrame:
+    """What the footer calls the answers of `fetch_states`."""
+    off = F.lit(False)
+    return Q.fetch_states(spark, root).select("request_id", rendering.fetch_state(F.col("state") == "unchanged", F.col("state") == "delta", F.lit(True), off, off).alias("told"))
+
+
+# ---- more of the store
+
+
+@query(f"select client, at_ms, seq from ({Q.ORACLE['request_windows']}) where n = 1")
+def key_holders(spark: SparkSession, root: str) -> DataFrame:
+    """Set-if-absent with an expiry: the requests that got their client's key, which is free again an hour later."""
+    rows = read_table(spark, root, "activity", "seq", "domain", "at_ms").dropDuplicates(["seq"]).withColumnRenamed("domain", "client")
+    return windows.anchored_counts(rows, HOUR, 1).filter("allowed").select("client", "at_ms", "seq")
+
+
+@query("select domain, cast(coalesce(sum(floor(saved / 8.0 + 0.5)), 0) as bigint) as n from (select distinct seq, domain, saved from activity) group by domain")
+def rounded_counters(spark: SparkSession, root: str) -> DataFrame:
+    """Sums of amounts that are rounded one by one, halves up."""
+    rows = stats.log_once(read_table(spark, root, "activity", "seq", "domain", "saved")).withColumn("amount", F.col("saved") / 8)
+    return store.counters(rows, "domain", amount="amount")
+
+
+@query("select doc_id, text from documents")
+def decoded_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Texts from their bytes; those of the tables are all whole."""
+    return read_table(spark, root, "documents", "doc_id", "text").select("doc_id", text.lossy_utf8(F.encode("text", "UTF-8")).alias("text"))
