@@ -18,7 +18,7 @@ from tidemark.operators.snapshots import snapshot_changes
 from tidemark.plans import sql as S
 from tidemark.sources.feeds import release_times
 from tidemark.sources.scratch import Scratch, small_side
-from tidemark.sources.tables import read_once, read_table
+from tidemark.sources.tables import read_once, read_table, spread
 from tidemark.streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,7 +208,7 @@ def html_distill(spark: SparkSession, root: str) -> DataFrame:
     keys = Scratch(spark, "distill").keep(rows.select("page_id", text.body_hash("markdown").alias("h")), "keys")
     first = keys.groupBy("h").agg(F.min("page_id").alias("page_id"))
     page = _as_html(F.col("markdown"))
-    once = rows.join(small_side(first), "page_id").select("h", html.distill_html(page).alias("distilled_text"), text.estimate_tokens(page).alias("original"))
+    once = spread(rows.join(small_side(first), "page_id")).select("h", html.distill_html(page).alias("distilled_text"), text.estimate_tokens(page).alias("original"))
     made = Scratch(spark, "distill").keep(once, "distilled")
     return keys.join(made, "h").select("page_id", F.col("distilled_text").alias("markdown"), "original", text.estimate_tokens("distilled_text").alias("distilled"))
 

@@ -26,6 +26,15 @@ def read_once(spark: SparkSession, root: str, name: str, key: str, *columns: str
     return rows.filter("_first is null or _at = _first").select(key, *columns)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows for a costly function: where they come in fewer partitions than half the cores, as from a small file, over all cores.
+
+    A table of a cluster's size comes in enough partitions and isn't moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() < cores else rows
+
+
 def open_store(spark: SparkSession, name: str, schema: str, location: str | None = None) -> DataFrame:
     """A store's table: the shared one at `location` if one is named, else an empty one of this session under `name`, made once."""
     if location:
