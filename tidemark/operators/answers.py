@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import text, urls
 from tidemark.operators import sections
+from tidemark.sources.scratch import Scratch
 
 
 def page_of_requests(requests: DataFrame, pages: DataFrame) -> DataFrame:
@@ -18,28 +19,19 @@ def page_of_requests(requests: DataFrame, pages: DataFrame) -> DataFrame:
     return keyed.join(stored, "url_hash", "left")
 
 
-def _delta_body(changed: Column, added: Column, gone: Column) -> Column:
-    bodies = F.transform(F.concat(changed, added), lambda s: text.trimmed(s["body"]))
-    names = F.transform(gone, lambda s: s["heading"])
-    removed = F.when(F.size(names) > 0, F.concat(F.lit("_Removed since then: "), F.array_join(names, ", "), F.lit("_")))
-    return F.concat_ws("\n\n", bodies, removed)
+def deltas(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(url_hash, known_hash, delta, changed, total): what changed in each page since the text that the known hash stands for.
 
-
-def delta_between(before: Column, after: Column) -> Column:
-    """struct<text, changed, total> of two section arrays of one page, by heading in lower case; of equal headings before, the last counts."""
-
-    def name(s: Column) -> Column:
-        return F.lower(text.trimmed(s["heading"]))
-
-    old_names, new_names = F.transform(before, name), F.transform(after, name)
-
-    def old_hash(s: Column) -> Column:
-        return F.element_at(F.filter(before, lambda o: name(o) == name(s)), -1)["sha256"]
-
-    added = F.filter(after, lambda s: ~F.array_contains(old_names, name(s)))
-    changed = F.filter(after, lambda s: F.array_contains(old_names, name(s)) & (old_hash(s) != s["sha256"]))
-    gone = F.filter(before, lambda s: ~F.array_contains(new_names, name(s)))
-    return F.struct(_delta_body(changed, added, gone).alias("text"), (F.size(changed) + F.size(added)).cast("long").alias("changed"), F.size(after).cast("long").alias("total"))
+    `pairs` has distinct (url_hash, known_hash), `before` texts (url_hash, known_hash, markdown), equal ones more than once at times,
+    of which only those asked for are moved, `after` one a page (url_hash, markdown). Sections meet by heading in a join, so the work is linear in their number; of equal headings
+    before, the last counts. However many requests ask for a pair, it is worked out once.
+    """
+    keys = ["url_hash", "known_hash"]
+    old = sections.split_sections(before.join(pairs, keys, "left_semi").groupBy(*keys).agg(F.min("markdown").alias("markdown")), *keys)
+    new = sections.split_sections(pairs.join(after.select("url_hash", "markdown"), "url_hash"), *keys)
+    diff = sections.diff_indexes(old, new, *keys)
+    counts = sections.delta_counts(diff, *keys).select(*keys, (F.col("changed") + F.col("added")).alias("changed"), "total")
+    return counts.join(sections.delta_text(diff, *keys), keys, "left").select(*keys, F.coalesce("delta", F.lit("")).alias("delta"), "changed", "total")
 
 
 def fetch_view(requests: DataFrame, pages: DataFrame, saves: DataFrame) -> DataFrame:
@@ -51,21 +43,27 @@ def fetch_view(requests: DataFrame, pages: DataFrame, saves: DataFrame) -> DataF
     found, or `page`. Texts are clipped to the budget last. Repeated requests are answered each; equal earlier texts once.
     """
     joined = page_of_requests(requests.select("request_id", "url", "known_hash", "section", "token_budget"), pages)
-    prior = saves.select(F.col("url_hash"), text.content_hash("markdown").alias("known_hash"), F.col("markdown").alias("_prior")).filter("_prior is not null").dropDuplicates(["url_hash", "known_hash"])
-    rows = joined.join(prior, ["url_hash", "known_hash"], "left")
+    prior = saves.filter("markdown is not null").select("url_hash", text.content_hash("markdown").alias("known_hash"), "markdown")
+    rows = joined.join(prior.select("url_hash", "known_hash", F.lit(True).alias("_prior")).distinct(), ["url_hash", "known_hash"], "left")
     section = F.when(F.col("section") != "", F.col("section"))
     found = F.when(section.isNotNull(), sections.find_section(sections.section_array("markdown"), section))
     is_delta = F.col("_prior").isNotNull() & section.isNull()
     state = (
         F.when(F.col("markdown").isNull(), "missing").when(F.col("known_hash").eqNullSafe(F.col("content_hash")), "unchanged").when(is_delta, "delta").when(found.isNotNull() & (found != ""), "section").otherwise("page")
     )
-    delta = F.when(F.col("state") == "delta", delta_between(sections.section_array("_prior"), sections.section_array("markdown")))
-    staged = rows.withColumn("state", state).withColumn("found", found).withColumn("delta", delta)
-    body = F.when(F.col("state") == "delta", F.col("delta.text")).when(F.col("state") == "section", F.col("found")).when(F.col("state") == "page", F.col("markdown"))
-    answered = staged.withColumn("body", text.clip_to_budget(body, F.col("token_budget").cast("long")))
-    whole = text.estimate_tokens("markdown")
-    tokens = F.when(F.col("state") == "unchanged", whole).otherwise(text.estimate_tokens("body"))
-    saved = F.when(F.col("state") == "unchanged", whole).when(F.col("state") == "missing", F.lit(0).cast("long")).otherwise(text.tokens_saved("original_tokens", text.estimate_tokens("body")))
-    return answered.select(
-        "request_id", "state", F.col("body").alias("markdown"), tokens.alias("tokens"), saved.alias("saved"), "content_hash", F.col("delta.changed").alias("sections_changed"), F.col("delta.total").alias("sections_total")
+    body = F.when(F.col("state") == "section", F.col("found")).when(F.col("state") == "page", F.col("markdown"))
+    # what is told without deltas is written, so that requests meet their pages once
+    staged = rows.withColumn("state", state).withColumn("found", found).select(
+        "request_id", "url_hash", "known_hash", "state", "content_hash", "original_tokens", F.col("token_budget").cast("long").alias("budget"), body.alias("body"), F.when(F.col("state") == "unchanged", text.estimate_tokens("markdown")).alias("whole")
     )
+    staged = Scratch(requests.sparkSession, "answers").keep(staged, "staged")
+    made = deltas(staged.filter("state = 'delta'").select("url_hash", "known_hash").distinct(), prior, pages)
+    is_of_delta = F.col("state") == "delta"
+    joined = staged.join(made, ["url_hash", "known_hash"], "left")
+    answered = joined.withColumn("body", text.clip_to_budget(F.when(is_of_delta, F.col("delta")).otherwise(F.col("body")), F.col("budget")))
+    returned = text.estimate_tokens("body")
+    saved = F.when(F.col("state") == "missing", F.lit(0).cast("long")).otherwise(text.tokens_saved("original_tokens", returned))
+    return answered.select(
+        "request_id", "state", F.col("body").alias("markdown"), F.coalesce("whole", returned).alias("tokens"), F.coalesce("whole", saved).alias("saved"), "content_hash",
+        F.when(is_of_delta, F.col("changed")).alias("sections_changed"), F.when(is_of_delta, F.col("total")).alias("sections_total"),
+    )
