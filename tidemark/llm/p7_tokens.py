@@ -28,6 +28,8 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Distinct chunks kept by a worker; beyond, it starts anew, which costs time but changes nothing.
 CACHED_CHUNKS = 1_000_000
+#: Pairs of tokens whose compatibility a worker remembers.
+CACHED_PAIRS = 2_000_000
 #: Characters encoded together.
 BLOCK_CHARS = 4_000_000
 
@@ -149,6 +151,8 @@ class SpeculativeEncoder:
         of = np.repeat(np.arange(len(fresh)), lengths)
         inner = np.nonzero(of[1:] == of[:-1])[0]
         keys, back = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
+        if len(self.compatible) > CACHED_PAIRS:
+            self.compatible.clear()
         known = self.compatible
         unknown = np.fromiter((k for k in keys.tolist() if k not in known), np.int64)
         known.update(zip(unknown.tolist(), self.check_pairs(unknown >> 32, unknown & 0xFFFFFFFF).tolist()))
