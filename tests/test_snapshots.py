@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.snapshots import keep_snapshot, next_changes, snapshot_changes
@@ -61,3 +62,6 @@ def test_delivery_by_delivery(spark, tmp_path):
     kept = spark.read.parquet(str(tmp_path / "4"))
     assert kept.columns == ["url_hash", "heading", "snap_no", "digest"] and next_changes(kept, df.limit(0)).isEmpty()
     assert next_changes(kept.limit(0), df.filter("snap_no = 2")).isEmpty()
+    for wrong in (df, df.filter("snap_no = 4")):
+        with pytest.raises(ValueError):
+            next_changes(kept, wrong)

@@ -99,11 +99,13 @@ def keep_snapshot(rows: DataFrame, path: str) -> None:
 def next_changes(kept: DataFrame, delivery: DataFrame) -> DataFrame:
     """What snapshot_changes gives for one more delivery, from the kept snapshot before it, of which only keys and digests are read.
 
-    `kept` is what keep_snapshot wrote; `delivery` has rows of one later snap_no. A delivery without rows has no number, so
-    nothing can be told of it.
+    `kept` is what keep_snapshot wrote; `delivery` has rows of one later snap_no, more than one or an earlier one is an error. A
+    delivery without rows has no number, so nothing can be told of it.
     """
-    number = delivery.agg(F.max("snap_no")).first()[0]
+    number, least = delivery.agg(F.max("snap_no"), F.min("snap_no")).first()
     before = kept.agg(F.max("snap_no")).first()[0]
+    if number is not None and (least != number or (before is not None and number <= before)):
+        raise ValueError("a delivery has one snapshot, later than the kept one")
     if number is None:
         return delivery.sparkSession.createDataFrame([], CHANGES)
     numbers = [n for n in (before, number) if n is not None]
